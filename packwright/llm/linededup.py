@@ -134,3 +134,20 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     docs = _rows(df, id_col, text_col).join(drops, ["doc_id", "row_key"], "left").select("doc_id", "text", "drops")
     out = docs.mapInArrow(_reassembled, "doc_id long, n_lines long, n_dropped long, kept_text string")
     return out.withColumnRenamed("doc_id", id_col)
+
+
+def replace_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """df with each text replaced by its kept lines; all rows, columns and ids stay.
+
+    A null text stays null. Columns of df may have any names.
+    """
+    drops = dropped_lines(df, id_col, text_col, min_chars, min_docs).select(F.col("doc_id").alias("_drop_id"), F.col("row_key").alias("_drop_key"), F.col("drops").alias("_drops"))
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    place = dict(zip(df.columns, names, strict=True))
+    rows = df.toDF(*names)
+    text = F.col(place[text_col])
+    joined = rows.join(drops, (F.col(place[id_col]) == F.col("_drop_id")) & (F.xxhash64(text.cast("string")) == F.col("_drop_key")), "left")
+    lines = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops"))
+    new = F.when(F.col("_drops").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    return joined.select(*[(new if c == text_col else F.col(place[c])).alias(c) for c in df.columns])

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import jaccard, linededup, urlfilter
+from packwright.llm import chains, decontam, flac, htmltext, jaccard, langid, linededup, mixing, tokenfiles, urlfilter
+from packwright.llm.shared import scratch_path
 
 #: Fixed rules of the URL query: (host, path, verdict).
 URL_RULES = [
@@ -22,6 +23,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Targets of the mixing query: names that aren't listed weigh 1.
+MIX_WEIGHTS = {"domain": {"web": 3.0, "books": 2.0, "code": 1.0}, "language": {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
+
+
+def domain_of(source: str = "source"):
+    """The tables have no domains: sources are dealt to three by their number."""
+    n = F.pmod(F.coalesce(F.regexp_extract(source, r"(\d+)$", 1).try_cast("long"), F.lit(0)), F.lit(3))
+    return F.when(n == 0, "web").when(n == 1, "books").otherwise("code")
+
+
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = flac.encode_column(_table(spark, sf_dir, "documents"))
+    return flac.digest_column(media)
+
+
+def op2_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_counts(_table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -30,6 +54,28 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.remainder(F.col("doc_id")) == 2
+    model = langid.train(docs.where(~held_out))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op8_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = mixing.mix_rows(docs, domain_of(), F.col("lang"), F.col("source"), mixing.word_count(F.col("text")), weights=MIX_WEIGHTS)
+    return out.drop("_key")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -66,8 +112,13 @@ SQL: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    from corpus_pipeline import run
+
+    own = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return own | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from corpus_pipeline import ORACLE_SQL
+
+    return SQL | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
