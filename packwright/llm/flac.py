@@ -599,6 +599,12 @@ def decode_streams(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     for k, info in enumerate(infos):
         at = offsets[cut[k] : cut[k + 1] + 1]
         samples = every[at[0] : at[-1]]
+        byte = starts[cut[k] : cut[k + 1]] - begins[k]
+        for sample, offset, size in info.seek:
+            if sample != (1 << 64) - 1:  # else a placeholder
+                f = int(np.searchsorted(at - at[0], sample))
+                if f >= len(byte) or at[f] - at[0] != sample or byte[f] != offset or sizes[cut[k] + f] != size:
+                    raise ValueError(f"the seek point of sample {sample} is wrong")
         if info.n_samples and len(samples) != info.n_samples:
             raise ValueError("the number of samples is wrong")
         if any(info.md5) and hashlib.md5(samples.tobytes()).digest() != info.md5:
