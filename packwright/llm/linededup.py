@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packwright.llm.shared import salted_join
 from packwright.llm.textcore import SPACE, SpanHash, chunks
 
 LINE_SCHEMA = "doc_id long, row_key long, pos int, h1 long, h2 long"
@@ -98,7 +99,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Distinct documents are counted by two hash aggregations with partial sums, so a
     line that a third of all documents hold reaches its reducer as one row a task. The
-    join back is an equi-join that adaptive execution splits at hot lines.
+    join back splits hot lines.
     """
     lines = _rows(df, id_col, text_col).where("doc_id is not null and text is not null").mapInArrow(hashed_lines(min_chars), LINE_SCHEMA)
     common = (
@@ -109,7 +110,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("n") >= min_docs)
         .select("h1", "h2", "keeper")
     )
-    hit = lines.join(common, ["h1", "h2"]).where("doc_id <> keeper")
+    hit = salted_join(lines, common, ["h1", "h2"], "doc_id").where("doc_id <> keeper")
     return hit.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("drops"))
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: list[str] = []
@@ -42,3 +43,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: 64-bit words of a bounded filter: its broadcast is some 16 MB at most, at any scale.
+FILTER_WORDS = 1 << 19
+
+
+def bounded_filter(ids: DataFrame) -> DataFrame:
+    """A Bloom filter of a bigint column as a table (word, bits) of at most FILTER_WORDS rows."""
+    h = F.xxhash64(ids.columns[0])
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{ids.columns[0]}`), 40), 64) as int))")
+    return ids.select(F.pmod(h, F.lit(FILTER_WORDS)).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def maybe_in(df: DataFrame, id_col: str, words: DataFrame) -> DataFrame:
+    """The rows of df whose id may be in the filter, with no shuffle of df.
+
+    None that is in it is lost; of the others, few get through as long as the filter
+    isn't full. It saves a later join on the id from shuffling rows without a partner.
+    """
+    h = F.xxhash64(F.col(id_col).cast("long"))
+    hit = df.join(F.broadcast(words), F.pmod(h, F.lit(FILTER_WORDS)) == F.col("_word"))
+    set_ = F.expr(f"getbit(_bits, cast(pmod(shiftright(xxhash64(cast(`{id_col}` as bigint)), 40), 64) as int))") == 1
+    return hit.where(set_).drop("_word", "_bits")
+
+
+SALTS = 4
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
+    """An inner join whose hot keys are split.
+
+    big's rows of a key go to SALTS groups by a hash of ``salt_by``; small's rows are
+    copied to each. As small is dealt out anew (it may come from an aggregation by the
+    same keys), adaptive execution can split what is still skewed.
+    """
+    salt = F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")
