@@ -28,6 +28,7 @@ REQUEST_TIMEOUT_S = 120
 MAX_REPLY_TOKENS = 16
 BACKENDS = ("ts", "joern")
 NO_LLM = "[no-llm]"
+EVIDENCE = "array<struct<pos:int,file:string,name:string,line:int,source:string,keep_lines:array<int>,tokens:int>>"
 
 
 @dataclass
@@ -102,7 +103,7 @@ def build_packs(samples: DataFrame, index: DataFrame | None, cfg: CellConfig, wo
     """
     render = represent.REPRESENTATIONS[cfg.representation]
     target = X.strip(F.col("func_body"))
-    empty = F.array().cast("array<struct<pos:int,file:string,name:string,line:int,source:string,keep_lines:array<int>,tokens:int>>")
+    empty = F.array().cast(EVIDENCE)
     if cfg.selector not in selectors.NEEDS_POOL:
         rows = samples.withColumn("evidence", empty).withColumn("n_candidates_pool", F.lit(0).cast("long"))
         rows = rows.withColumn("n_backend_failures", F.lit(0)).withColumn("index_time_s", F.lit(0.0))
@@ -117,7 +118,7 @@ def build_packs(samples: DataFrame, index: DataFrame | None, cfg: CellConfig, wo
         rows = rows.join(worktrees, "worktree", "left") if worktrees is not None else rows.withColumn("index_time_s", F.lit(0.0))
         rows = rows.withColumn("index_time_s", F.coalesce("index_time_s", F.lit(0.0)))
         rows = rows.withColumn("n_candidates_pool", F.coalesce("n_candidates_pool", F.lit(0).cast("long")))
-        rows = rows.withColumn("evidence", F.coalesce(F.col("evidence").cast(empty_type()), empty))
+        rows = rows.withColumn("evidence", F.coalesce(F.col("evidence").cast(EVIDENCE), empty))
     rows = rows.withColumn("pack_text", render(target, F.col("evidence")))
     tokens = F.aggregate("evidence", F.lit(0).cast("long"), lambda a, e: a + e["tokens"].cast("long"))
     return rows.select(
@@ -132,10 +133,6 @@ def build_packs(samples: DataFrame, index: DataFrame | None, cfg: CellConfig, wo
     )
 
 
-def empty_type() -> str:
-    return "array<struct<pos:int,file:string,name:string,line:int,source:string,keep_lines:array<int>,tokens:int>>"
-
-
 def chat_predictor(model: str, base_url: str, api_key: str | None = None, seed: int | None = None) -> Callable[[str], str]:
     """A function that asks a chat endpoint for a verdict; made once a partition."""
 
@@ -200,7 +197,7 @@ def ledger(packs: DataFrame, cfg: CellConfig, run_id: str, set_id: str, cold_ms:
         "target_tokens": counter(F.col("func_body")), "prompt_tokens_total": counter(F.lit(SYSTEM_PROMPT)) + F.col("pack_tokens"),
         "build_time_cold_ms": F.lit(cold_ms), "build_time_warm_ms": F.when(F.col("n_backend_failures") > 0, 0.0).otherwise(F.lit(warm_ms)),
     }
-    return packs.select(*[constants.get(n, F.col(n) if n not in constants else None).cast(t).alias(n) for n, t in pairs.LEDGER_FIELDS])
+    return packs.select(*[constants.get(n, F.col(n)).cast(t).alias(n) for n, t in pairs.LEDGER_FIELDS])
 
 
 def checkout_all(spark: SparkSession, samples: DataFrame, cfg: CellConfig, scan=None) -> tuple[DataFrame, DataFrame]:
