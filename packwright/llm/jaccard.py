@@ -8,8 +8,8 @@ its signature; small sets use the shingles of their prefix instead. Sets that sh
 each set is sent to its block once. Nothing is lost by this, and a shared passage alone
 makes no block.
 
-Join. A block's sets, ordered by the same global order (the 64-bit hash), are stored in
-a radix trie. Each set walks the trie: a segment that many sets share is intersected
+Join. A block's sets, all ordered by the block's rarest shingle first, are stored in
+radix tries, one for each group of sets whose prefixes meet. Each set walks its trie: a segment that many sets share is intersected
 once, and a subtree is left as soon as the overlap so far plus the shorter of the
 remaining lengths can't reach the threshold, or when all its sets are already in the
 walking set's component. So a large group of near copies costs about one path a copy,
@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packwright.llm.graph import EDGE_SCHEMA, Forest, connected_components
-from packwright.llm.shared import materialize
+from packwright.llm.shared import bounded_filter, materialize, maybe_in
 from packwright.llm.textcore import chunks, mix, shingle_sets
 
-MAX_BLOCK = 2_000
+MAX_BLOCK = 4_000
 #: Ratio of a size class's bounds: wider classes need more parts, narrower ones send
 #: more sets to two classes.
 CLASS_RATIO = 1.4
@@ -80,8 +80,9 @@ def parts(c: int, num: int, den: int) -> tuple[int, int]:
     at least spare + 1 are equal. So where a set has at most ``spare`` empty parts, one
     of the equal parts isn't empty, and its empty parts need no signatures.
     """
-    least, top = _BOUNDS[c], _BOUNDS[c + 1] - 1
-    if least < SMALL:
+    # The smallest partner of the class's smallest set has this many shingles.
+    least, top = -(-_BOUNDS[c] * num // den), _BOUNDS[c + 1] - 1
+    if _BOUNDS[c] < SMALL:
         return 0, 0
     d, spare = 2 * top * (den - num) // (den + num), 0
     for spare in range(d + 1):
@@ -210,7 +211,7 @@ class Trie:
     """
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], num: int, den: int, forest: Forest):
-        order = sorted(range(len(ids)), key=lambda i: sets[i].astype(">u8").tobytes())
+        order = sorted(range(len(ids)), key=lambda i: sets[i].astype(">i8").tobytes())
         self.ids, self.sets = [ids[i] for i in order], [sets[i] for i in order]
         self.num, self.den, self.forest = num, den, forest
         self.lens = [len(s) for s in self.sets]
@@ -348,21 +349,53 @@ def join_block(ids: list[int], sets: list[np.ndarray], num: int, den: int, halve
     halves: with two slices, which of them each set is from; sets of the second walk
     the trie of the first (the pairs within a slice are another task's).
     """
-    forest = Forest()
-    if halves is not None and len(set(halves)) > 1:
-        stored = [i for i, h in enumerate(halves) if h == 0]
-        walking = [i for i, h in enumerate(halves) if h == 1]
-    else:
-        stored = walking = range(len(ids))
     if len(ids) == 2:
         inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(ids[0], ids[1])] if linked(inter, len(sets[0]) + len(sets[1]) - inter, num, den) else []
-    trie = Trie([ids[i] for i in stored], [sets[i] for i in stored], num, den, forest)
-    for i in walking:
-        trie.link(ids[i], sets[i])
+    forest = Forest()
+    crossing = halves is not None and len(set(halves)) > 1
+    ranked, groups = rare_first(sets, num, den)
+    for own in groups:
+        stored = [i for i in own if not crossing or halves[i] == 0]
+        walking = [i for i in own if not crossing or halves[i] == 1]
+        if stored and walking:
+            trie = Trie([ids[i] for i in stored], [ranked[i] for i in stored], num, den, forest)
+            for i in walking:
+                trie.link(ids[i], ranked[i])
     return [(x, forest.find(x)) for x, p in forest.parent.items() if p != x]
 
 
+def rare_first(sets: list[np.ndarray], num: int, den: int) -> tuple[list[np.ndarray], list[list[int]]]:
+    """The sets as ranks, the block's rarest shingle first, and groups that may link.
+
+    Two sets within the threshold share a shingle of their prefixes, under any common
+    order. With the rare ones first, what a common passage brings stands at the end of
+    the sets and not in their prefixes; so sets that share no more than a passage fall
+    into different groups, and sets without a shared prefix shingle into none.
+    """
+    sizes = [len(s) for s in sets]
+    values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.lexsort((values, counts))] = np.arange(len(values))
+    ranked = [np.sort(r) for r in np.split(rank[place], np.cumsum(sizes)[:-1])]
+    single = int((counts == 1).sum())  # ranks below are held by one set only
+    prefixes = [r[: n - -(-n * num // den) + 1] for r, n in zip(ranked, sizes, strict=True)]
+    prefixes = [x[np.searchsorted(x, single) :] for x in prefixes]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in prefixes])
+    token = np.concatenate(prefixes)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    same = np.flatnonzero(token[1:] == token[:-1])
+    near = Forest()
+    if len(same):
+        for x, y in np.unique(np.stack([owner[same], owner[same + 1]], 1), axis=0).tolist():
+            near.union(x, y)
+    groups: dict[int, list[int]] = {}
+    for i in sorted(near.parent):
+        groups.setdefault(near.find(i), []).append(i)
+    return ranked, list(groups.values())
+
+
 def _joined_blocks(n: int, num: int, den: int):
     """Rows sorted by block (block, half, node, text) to forest edges (u, v)."""
 
@@ -437,8 +470,12 @@ def jaccard_components(
     # Slice i meets slice j in task (min, max); with one slice that is (0, 0).
     placed = placed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     placed = placed.select("doc_id", "root", F.least("slice", "mate").alias("low"), F.greatest("slice", "mate").alias("high"), (F.col("slice") > F.col("mate")).cast("int").alias("half"))
-    texts = placed.join(full, "doc_id").select("root", "low", "high", "half", F.col("doc_id").alias("node"), "text")
-    texts = texts.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    # Texts without a block stay where they are.
+    needed = maybe_in(full, "doc_id", bounded_filter(placed.select("doc_id")))
+    texts = placed.join(needed.hint("merge"), "doc_id").select("root", "low", "high", "half", F.col("doc_id").alias("node"), "text")
+    # The number is given so that small blocks aren't put together again by their bytes.
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(n_parts, "root", "low", "high").sortWithinPartitions("root", "low", "high")
     links = texts.mapInArrow(_joined_blocks(n, num, den), EDGE_SCHEMA)
     roots = connected_components(links.unionByName(copies))
     out = sized.join(roots, sized.doc_id == roots.node, "left")
