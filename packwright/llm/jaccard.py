@@ -4,7 +4,9 @@ Distribution. Equal sets are one node from the start. Sets of similar size meet
 some part of them is equal: the hash space is cut into k parts with k above the largest
 symmetric difference that the threshold allows for the size class, so two sets within
 the threshold agree on at least one whole part (pigeonhole). A part's content hash is
-its signature; small sets use the shingles of their prefix instead. Sets that share signatures, directly or through others, form a block;
+its signature; small sets use the shingles of their prefix instead. Very frequent
+shingles (by counts in hash buckets, gathered in the first pass) are left out of parts,
+so that passages which very many documents share don't bring them together. Sets that share signatures, directly or through others, form a block;
 each set is sent to its block once. Nothing is lost by this, and a shared passage alone
 makes no block.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 import bisect
 import functools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +38,13 @@ from packwright.llm.graph import EDGE_SCHEMA, Forest, connected_components
 from packwright.llm.shared import bounded_filter, materialize, maybe_in
 from packwright.llm.textcore import chunks, mix, shingle_sets
 
-MAX_BLOCK = 4_000
+MAX_BLOCK = 2_000
 #: Ratio of a size class's bounds: wider classes need more parts, narrower ones send
 #: more sets to two classes.
 CLASS_RATIO = 1.4
+#: Shingles are counted in this many hash buckets, as so many pieces: the counts a task
+#: sends and the mask that comes back (a bit a bucket) have a fixed size at any scale.
+BUCKET_BITS, PIECES = 20, 16
 #: Classes that begin below this size use prefixes.
 SMALL = 48
 
@@ -101,19 +107,26 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(a).view(np.int64)), int(np.add.reduce(b).view(np.int64))
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
+def signatures(s: np.ndarray, num: int, den: int, hot: np.ndarray | None = None) -> np.ndarray:
     """The signatures of a sorted set, over all its size classes.
 
-    Small sets: the shingles of the prefix that any partner's prefix must meet.
+    hot marks buckets of very frequent shingles. They are left out of the parts: what is
+    left of two sets differs by no more than the sets do, so with the number of parts
+    for the whole sizes the argument of ``parts`` holds. Small sets give the shingles
+    of the prefix that any partner's prefix must meet, those of hot buckets last.
     """
     out = []
-    mixed = mix(s ^ np.uint64(0x589965CC75374CC3))
+    is_hot = np.zeros(len(s), bool) if hot is None else hot[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+    rest = s[~is_hot]
+    salted = np.uint64(0x589965CC75374CC3)
+    mixed = mix(rest ^ salted)
     lo, hi = (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), (mixed >> np.uint64(32)).astype(np.float64)
-    top = (s >> np.uint64(32)).astype(np.int64)
+    top = (rest >> np.uint64(32)).astype(np.int64)
     for c in classes(len(s), num, den):
         k, spare = parts(c, num, den)
         if not k:
-            out.append(mixed[: len(s) - -(-len(s) * num // den) + 1])
+            ordered = np.concatenate([rest, s[is_hot]])
+            out.append(mix(ordered[: len(s) - -(-len(s) * num // den) + 1] ^ salted))
             continue
         part = (top * k) >> 32
         # Sums of 32-bit halves stay exact in float64 below 2**21 shingles a part.
@@ -124,23 +137,55 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, piece int, counts binary"
+
+
 def _set_rows(n: int):
-    """(doc_id, text) to (doc_id, n_shingles, d1, d2)."""
+    """(doc_id, text) to (doc_id, n_shingles, d1, d2), and at the end of a task the
+    counts of its shingles by bucket (piece, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in SET_SCHEMA.split(", ")]
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             size, d1, d2 = [], [], []
             for c in chunks(batch.column(1)):
-                for s in shingle_sets(c, n):
+                sets = shingle_sets(c, n)
+                for s in sets:
                     a, b = set_digest(s)
                     size.append(len(s))
                     d1.append(a)
                     d2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["doc_id", "n_shingles", "d1", "d2"])
+                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+            columns = [batch.column(0), *[pa.array(x, pa.int64()) for x in (size, d1, d2)], pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+        parts_ = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in counts.reshape(PIECES, -1)]
+        nothing = pa.nulls(PIECES, pa.int64())
+        yield pa.RecordBatch.from_arrays([nothing] * 4 + [pa.array(range(PIECES), pa.int32()), pa.array(parts_, pa.binary())], names)
 
     return run
 
 
+def _hot_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the counts of each piece; the buckets far above its mean, as bits."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.frombuffer(zlib.decompress(counts.as_buffer()), "<u4").astype(np.int64)
+            sums[piece] = sums[piece] + x if piece in sums else x
+    bits = [np.packbits(x > x.mean() + 8 * math.sqrt(x.mean()) + 8).tobytes() for x in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], ["piece", "bits"])
+
+
+def hot_buckets(counts: DataFrame) -> np.ndarray:
+    """The mask of frequent buckets from (piece, counts) rows: 128 KB reach the driver."""
+    rows = counts.repartition("piece").mapInArrow(_hot_pieces, "piece int, bits binary").collect()
+    out = np.zeros((PIECES, (1 << BUCKET_BITS) // PIECES), bool)
+    for piece, bits in rows:
+        out[piece] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+    return out.reshape(-1)
+
+
 def _stars(sig: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
     """The signatures once each with their smallest id, and a forest that links the
     other ids of a signature to it."""
@@ -157,7 +202,7 @@ def _stars(sig: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, li
     return sig[first], own[first], inner, [forest.find(x) for x in inner]
 
 
-def _signature_rows(n: int, num: int, den: int):
+def _signature_rows(n: int, num: int, den: int, hot: np.ndarray):
     """(doc_id, text) to (sig, doc_id, other) rows.
 
     Of the ids of a batch that share a signature only the smallest is sent; the others
@@ -172,7 +217,7 @@ def _signature_rows(n: int, num: int, den: int):
             for c in chunks(batch.column(1)):
                 for i, s in enumerate(shingle_sets(c, n), c.first):
                     if len(s):
-                        sigs.append(x := signatures(s, num, den))
+                        sigs.append(x := signatures(s, num, den, hot))
                         owners.append(np.full(len(x), ids[i]))
             sig, own, inner, root = _stars(np.concatenate(sigs), np.concatenate(owners))
             sigs = owners = None
@@ -452,13 +497,15 @@ def jaccard_components(
     them); an empty table gives an empty result; other columns aren't read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sized = materialize(docs.mapInArrow(_set_rows(n), "doc_id long, n_shingles long, d1 long, d2 long"), "sets")
+    rows = materialize(docs.mapInArrow(_set_rows(n), SET_SCHEMA), "sets")
+    hot = hot_buckets(rows.where("piece is not null").select("piece", "counts"))
+    sized = rows.where("piece is null").drop("piece", "counts")
     some = sized.where("n_shingles > 0 and doc_id is not null")
     same = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     copies = some.join(same, ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
     full = docs.where("doc_id is not null and text is not null")
-    sent = full.mapInArrow(_signature_rows(n, num, den), "sig long, doc_id long, other long")
+    sent = full.mapInArrow(_signature_rows(n, num, den, hot), "sig long, doc_id long, other long")
     blocks = connected_components(sent.repartition("sig").mapInArrow(_met, EDGE_SCHEMA))
 
     # Copies of a set aren't compared: only the smallest id of each goes to its block.

@@ -93,7 +93,10 @@ def test_trie_and_signatures_lose_nothing():
             s = np.unique(np.concatenate([b[rng.random(len(b)) > pick.choice([0, 0.02, 0.1])], rng.integers(0, 2**63, pick.choice([0, 0, 2]), dtype=np.uint64)]))
             sets.append(s if len(s) else np.unique(b))
         want, got = graph.Forest(), graph.Forest()
-        signed = [set(jaccard.signatures(s, num, den).tolist()) for s in sets]
+        hot = np.zeros(1 << jaccard.BUCKET_BITS, bool)
+        for s in sets[:2]:  # any shingles may count as frequent
+            hot[(s[pick.random() < 0.5 :: pick.choice([1, 2, 5])] >> np.uint64(64 - jaccard.BUCKET_BITS)).astype(np.int64)] = True
+        signed = [set(jaccard.signatures(s, num, den, hot).tolist()) for s in sets]
         for i in range(len(ids)):
             for j in range(i):
                 inter = len(np.intersect1d(sets[i], sets[j]))
@@ -166,6 +169,14 @@ def test_planted_passages(spark):
     assert [(r.start, r.end) for r in both] == [(0, 60), (100, 160)]
 
 
+def test_a_passage_of_repeated_lines(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"u{rng.getrandbits(40)}" for _ in range(n)]
+    line = fresh(20)
+    got = passages(spark, [(1, " ".join(fresh(30) + line * 4)), (2, " ".join(line * 4 + fresh(30))), (3, " ".join(line + fresh(60)))])
+    assert set(got) == {(2, 1)} and (got[2, 1].start, got[2, 1].end, got[2, 1].anchor_start, got[2, 1].n_same) == (0, 80, 30, 80)
+
+
 def test_passage_edges(spark):
     assert passages(spark, []) == {}
     rows = [(None, "a b " * 100), (1, " ".join(f"v{i}" for i in range(200))), (1, " ".join(f"v{i}" for i in range(200)))]
