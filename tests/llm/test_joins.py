@@ -177,6 +177,29 @@ def test_a_passage_of_repeated_lines(spark):
     assert set(got) == {(2, 1)} and (got[2, 1].start, got[2, 1].end, got[2, 1].anchor_start, got[2, 1].n_same) == (0, 80, 30, 80)
 
 
+def test_an_exact_passage_before_a_filled_in_template(spark):
+    rng = random.Random(17)
+    fresh = lambda n: [f"u{rng.getrandbits(40)}" for _ in range(n)]
+    exact, shared = fresh(50), [fresh(17) for _ in range(3)]
+    form = lambda: exact + [w for s in shared for w in fresh(25) + s]
+    got = passages(spark, [(1, " ".join(form())), (2, " ".join(fresh(9) + form()))])
+    assert set(got) == {(2, 1)}
+    assert (got[2, 1].start, got[2, 1].end, got[2, 1].anchor_start, got[2, 1].n_same) == (9, 59, 0, 50)
+
+
+def test_stretches_find_every_alignment_that_holds_one():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(0, 40))
+        equal = rng.random(n) < rng.choice([0.5, 0.7, 0.9])
+        kind = np.where(equal, 2, rng.integers(0, 3, n))
+        c = chains.Columns(3, 5, kind != 0, kind != 1, equal)
+        good = lambda t: min(t[1] - t[0], t[3] - t[2]) >= 10 and t[4] >= 0.7 * t[5]
+        found = chains.stretches(c, 10, 0.7)
+        assert all(map(good, found)) and all(a[1] <= b[0] and a[3] <= b[2] for a, b in zip(found, found[1:], strict=False))
+        assert bool(found) == any(good(c.bounds(i, j)) for i in range(n) for j in range(i + 1, n + 1) if equal[i] and equal[j - 1])
+
+
 def test_passage_edges(spark):
     assert passages(spark, []) == {}
     rows = [(None, "a b " * 100), (1, " ".join(f"v{i}" for i in range(200))), (1, " ".join(f"v{i}" for i in range(200)))]
