@@ -144,6 +144,37 @@ def test_masks_survive_a_substitution():
         assert found, bad
 
 
+def test_no_contaminated_window_is_missed():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(23)
+    names, items = "abcdefghijklmnopqrstuvwxyz", []
+    docs = []
+    for n in [*range(1, 27), 40, 60]:
+        for _ in range(12):
+            item = [f"{rng.choice(names)}{rng.getrandbits(40)}" for _ in range(n)]
+            size = rng.randint(min(13, -(-n * 8 // 10)), n)
+            cut = rng.randint(0, n - size)
+            part = item[cut : cut + size]
+            bad = set(range(4, size, 5)) if rng.random() < 0.4 else set(rng.sample(range(size), size // 5))
+            items.append(item)
+            docs.append([f"x{rng.getrandbits(40)}" for _ in range(rng.randint(0, 9))] + ["bad" if k in bad else w for k, w in enumerate(part)] + ["end"])
+    want = set()
+    for k, doc in enumerate(docs):
+        item = items[k]
+        for diag in range(-len(item), len(doc)):
+            lo, hi = max(0, -diag), min(len(item), len(doc) - diag)
+            if hi > lo:
+                start, end = decontam.best_window(np.array([doc[q + diag] == item[q] for q in range(lo, hi)]), 0.8)
+                if end > start and end - start >= min(13, -(-len(item) * 8 // 10)):
+                    want.add((k, k))
+    table = decontam.SeedTable(list(range(len(items))), [" ".join(x) for x in items])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array([" ".join(d) for d in docs])], ["doc_id", "text"])
+    got = {(r["doc_id"], r["item_id"]) for out in decontam._verified(table, 13, 0.8)(iter([batch])) for r in out.to_pylist()}
+    assert len(want) > 200 and got == want
+
+
 def test_best_window_is_the_longest():
     import numpy as np
 
