@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packwright.functions import text as X
-from packwright.functions.permute import permutation_for
 from packwright.operators import bm25, budget, metrics, pool, represent, selectors
 from packwright.operators import samples as S
 from packwright.session import table
@@ -228,8 +227,9 @@ def same_file_fill(spark, d):
 
 
 def random_perm(spark, d):
-    sizes = targets(spark, d).select("sample_id", F.lit(200).alias("n"))
-    return sizes.select("sample_id", F.posexplode(permutation_for(F.col("sample_id"), F.col("n"))).alias("rank", "place"))
+    """The random selector over every sample's whole pool: where each candidate comes."""
+    t = targets(spark, d).select("sample_id", "worktree", F.col("query").alias("func_body"), "file_name")
+    return selectors.random_order(t, candidates(spark, d)).select("sample_id", "name", "rank")
 
 
 def code_tokens(spark, d):
