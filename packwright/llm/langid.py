@@ -16,17 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.llm.textcore import Chunk, chunks
 
 NGRAMS = (1, 2, 3, 4)
 DIM = 1 << 13
-#: Bounds of the labelled sample, a fixed parameter: rows a language, and landmarks.
+#: Bounds of the labelled sample, fixed parameters: rows a language, and least landmarks.
 MAX_PER_LANG = 400
-MAX_LANGS = 64
 LANDMARKS = 128
+#: With many languages, so many landmarks each.
+LANDMARKS_PER_LANG = 4
 RIDGE = 1e-2
 SHARPNESS = 8.0
 
@@ -107,21 +108,28 @@ def fit(langs: list[str], packed: list[bytes], landmarks: int = LANDMARKS, ridge
     if not names:
         return None
     bits = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), DIM // 8)
-    x = np.unpackbits(bits, axis=1).astype(np.float32)
-    y = np.array([names.index(v) for v in langs])
+    place = {v: k for k, v in enumerate(names)}
+    y = np.array([place[v] for v in langs])
     turn = np.zeros(len(y), np.int64)
     for k in range(len(names)):
         turn[y == k] = np.arange((y == k).sum())
-    chosen = np.lexsort((y, turn))[:landmarks]
-    kmm = _kernel(x[chosen], x[chosen]).astype(np.float64)
+    chosen = np.lexsort((y, turn))[: max(landmarks, LANDMARKS_PER_LANG * len(names))]
+    marks = np.unpackbits(bits[chosen], axis=1).astype(np.float32)
+    kmm = _kernel(marks, marks).astype(np.float64)
     val, vec = np.linalg.eigh(kmm)
     good = val > 1e-6 * val.max()
     root = vec[:, good] / np.sqrt(val[good]) @ vec[:, good].T
-    phi = _kernel(x, x[chosen]).astype(np.float64) @ root
-    target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0 if len(names) > 1 else 1.0)
     # Every language weighs the same, however many rows it has.
     w = (1.0 / np.bincount(y, minlength=len(names)))[y][:, None]
-    coef = np.linalg.solve(phi.T @ (w * phi) + ridge * np.eye(phi.shape[1]) * w.sum() / len(y), phi.T @ (w * target))
+    left, right = ridge * np.eye(len(root)) * w.sum() / len(y), np.zeros((len(root), len(names)))
+    # A block of rows at once: unpacked, the sample of many languages is large.
+    for at in range(0, len(y), 2048):
+        part = slice(at, at + 2048)
+        phi = _kernel(np.unpackbits(bits[part], axis=1).astype(np.float32), marks).astype(np.float64) @ root
+        target = np.where(y[part, None] == np.arange(len(names)), 1.0, -1.0 if len(names) > 1 else 1.0)
+        left += phi.T @ (w[part] * phi)
+        right += phi.T @ (w[part] * target)
+    coef = np.linalg.solve(left, right)
     return Model(names, bits[chosen], (root @ coef).astype(np.float32))
 
 
@@ -143,28 +151,23 @@ def train(df: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
 
     One count a language sets the share of hashes that is looked at, so the candidates
     that reach the driver are bounded whatever the size of the table, as fixed-size bit
-    sets (DIM/8 bytes) and not as texts. Languages beyond MAX_LANGS, by number of rows,
-    aren't learned. Null labels, null texts and null ids aren't used.
+    sets (DIM/8 bytes) and not as texts. Every label value is learned. Null labels, null
+    texts and null ids aren't used.
     """
     rows = df.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("i"))
     rows = rows.where("i is not null and lang is not null and text is not null").drop("i")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
-    pick = F.lit(False)
-    for lang, n in counts:
-        # Twice the rows wanted in expectation; a small language is taken whole.
-        share = min(1.0, 2.0 * max_per_lang / n)
-        pick = pick | (F.col("lang").eqNullSafe(lang) & (F.lit(share >= 1) | (F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))))
-    bits = rows.where(pick).mapInArrow(_features, "h long, lang string, bits binary")
-    got = bits.orderBy("h", "lang", "bits").limit(2 * max_per_lang * len(counts) + 1000).collect()
-    seen: dict[str, int] = {}
-    langs, packed = [], []
-    for _, lang, b in got:
-        if seen.get(lang, 0) < max_per_lang:
-            seen[lang] = seen.get(lang, 0) + 1
-            langs.append(lang)
-            packed.append(bytes(b))
+    # Twice the rows wanted in expectation; a small language is taken whole.
+    shares = [(lang, int(min(1.0, 2.0 * max_per_lang / n) * (1 << 40))) for lang, n in counts]
+    wanted = F.broadcast(df.sparkSession.createDataFrame(shares, "lang string, below long"))
+    picked = rows.join(wanted, "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("below")).select("h", "lang", "text")
+    bits = picked.mapInArrow(_features, "h long, lang string, bits binary")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "bits"))
+    got = bits.withColumn("_nth", first).where(F.col("_nth") <= max_per_lang).drop("_nth").collect()
+    got = sorted((h, lang, bytes(b)) for h, lang, b in got)
+    langs, packed = [lang for _, lang, _ in got], [b for _, _, b in got]
     return fit(langs, packed)
 
 

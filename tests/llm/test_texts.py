@@ -189,6 +189,19 @@ def test_best_window_is_the_longest():
 # ---- language ID ----------------------------------------------------------------------
 
 
+def test_every_label_value_is_learned(spark):
+    rng = random.Random(31)
+    rows = []
+    for k in range(80):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        rows += [(len(rows) + n, " ".join(rng.choice(words) for _ in range(30)), f"l{k:02d}") for n in range(6 if k % 2 else 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == [f"l{k:02d}" for k in range(80)]
+    got = langid.identify(docs, model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+
+
 def test_language_id(spark):
     sf = "/root/testdata/sf0.01/documents.parquet"
     docs = spark.read.parquet(sf).select("doc_id", "text", "lang")
