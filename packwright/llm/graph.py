@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packwright.llm.shared import materialize
+from packwright.llm.shared import materialize, salted_join
 
 EDGE_SCHEMA = "u long, v long"
 
@@ -41,39 +37,26 @@ class Forest:
         return True
 
 
-def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the edges of each batch by stars around their components' smallest ids."""
-    for batch in batches:
-        forest = Forest()
-        a, b = (np.asarray(batch.column(i)) for i in (0, 1))
-        if len(a):
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
-            for x, y in pairs.tolist():
-                forest.union(x, y)
-        nodes = [x for x, p in forest.parent.items() if p != x]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], ["u", "v"])
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): every node with an edge and the smallest node it can reach.
 
     edges: two bigint columns, in any direction, repeats and loops allowed; a row with
     a null end is ignored. Alternating large-star and small-star rounds: each links
-    nodes to the smallest neighbour by an aggregation with partial sums and an
-    equi-join that adaptive execution can split, so no node's neighbours ever meet in
-    one task. Each round is written to the shared folder, which cuts the lineage.
+    nodes to the smallest neighbour by an aggregation with partial sums and a salted
+    join, which adaptive execution can split further, so no node's neighbours ever meet
+    in one task. Each round is written to the shared folder, which cuts the lineage.
     The number of rounds grows with the logarithm of the longest path.
     """
     a, b = (F.col(c).cast("long") for c in edges.columns[:2])
     stars = edges.select(a.alias("u"), b.alias("v")).where("u is not null and v is not null and u <> v")
-    stars = materialize(stars.mapInArrow(local_stars, EDGE_SCHEMA).distinct(), "edges")
+    stars = materialize(stars.distinct(), "edges")
     print_of = None
     for _ in range(max_rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted_join(both, low, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = salted_join(large, low, ["u"], "v").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         stars = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == print_of:

@@ -10,6 +10,12 @@ so that passages which very many documents share don't bring them together. Sets
 each set is sent to its block once. Nothing is lost by this, and a shared passage alone
 makes no block.
 
+Heavy blocks. A block of more than ``max_shingles`` shingles is split before its texts
+move: its shingles are counted, and two sets within the threshold share one of the
+rarest that each set's prefix holds, so sets without a common prefix shingle part ways.
+Only shingles that two sets of the block hold are ordered; a set's own ones just take
+up its prefix.
+
 Join. A block's sets, all ordered by the block's rarest shingle first, are stored in
 radix tries, one for each group of sets whose prefixes meet. Each set walks its trie: a segment that many sets share is intersected
 once, and a subtree is left as soon as the overlap so far plus the shorter of the
@@ -17,8 +23,12 @@ remaining lengths can't reach the threshold, or when all its sets are already in
 walking set's component. So a large group of near copies costs about one path a copy,
 not one pair.
 
-Blocks above ``max_block`` sets are cut into slices, and each pair of slices is a task
-of its own; a task returns a spanning forest, never all pairs.
+What is heavy even then is a group of near copies in truth. It is cut into slices of at
+most ``max_shingles`` (a set alone may have more); each slice is joined by itself, and
+one representative of each slice's main component with those of the other slices. Sets
+that the block's main component doesn't hold by then are joined with all slices: the
+cost grows with the block, times the slices that those few fill. A task returns a
+spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -31,14 +41,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwright.llm.graph import EDGE_SCHEMA, Forest, connected_components
-from packwright.llm.shared import bounded_filter, materialize, maybe_in
+from packwright.llm.shared import bounded_filter, materialize, maybe_in, salted_join
 from packwright.llm.textcore import chunks, mix, shingle_sets
 
-MAX_BLOCK = 2_000
+#: Shingles of a slice: 2 MB of hashes, and a task that joins two slices takes some
+#: twenty times that at once.
+MAX_SHINGLES = 1 << 18
+#: Signatures that a task holds at once.
+SIGNATURES_AT_ONCE = 1 << 20
 #: Ratio of a size class's bounds: wider classes need more parts, narrower ones send
 #: more sets to two classes.
 CLASS_RATIO = 1.4
@@ -99,12 +113,18 @@ def parts(c: int, num: int, den: int) -> tuple[int, int]:
     return d + 1 + spare, spare
 
 
-def set_digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart."""
+def set_digest(s: np.ndarray) -> tuple[int, int, int]:
+    """128 bits that tell sets apart, and a name that close sets are likely to share.
+
+    The name is made of the least values of two hash orders. Sets of the same name are
+    one node while blocks are formed, so near copies send few edges: what that links too
+    much is only looked at in the block, and nothing is lost.
+    """
     if not len(s):
-        return 0, 0
+        return 0, 0, 0
     a, b = mix(s ^ np.uint64(0xA0761D6478BD642F)), mix(s ^ np.uint64(0xE7037ED1A0B428DB))
-    return int(np.add.reduce(a).view(np.int64)), int(np.add.reduce(b).view(np.int64))
+    name = mix(a.min(keepdims=True) ^ mix(b.min(keepdims=True)))
+    return int(np.add.reduce(a).view(np.int64)), int(np.add.reduce(b).view(np.int64)), int(name.view(np.int64)[0])
 
 
 def signatures(s: np.ndarray, num: int, den: int, hot: np.ndarray | None = None) -> np.ndarray:
@@ -137,31 +157,30 @@ def signatures(s: np.ndarray, num: int, den: int, hot: np.ndarray | None = None)
     return np.unique(np.concatenate(out))
 
 
-SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, piece int, counts binary"
+SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, name long, piece int, counts binary"
 
 
 def _set_rows(n: int):
-    """(doc_id, text) to (doc_id, n_shingles, d1, d2), and at the end of a task the
+    """(doc_id, text) to (doc_id, n_shingles, d1, d2, name), and at the end of a task the
     counts of its shingles by bucket (piece, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SET_SCHEMA.split(", ")]
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            size, d1, d2 = [], [], []
+            size, d1, d2, name = [], [], [], []
             for c in chunks(batch.column(1)):
                 sets = shingle_sets(c, n)
                 for s in sets:
-                    a, b = set_digest(s)
                     size.append(len(s))
-                    d1.append(a)
-                    d2.append(b)
+                    for column, v in zip((d1, d2, name), set_digest(s), strict=True):
+                        column.append(v)
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-            columns = [batch.column(0), *[pa.array(x, pa.int64()) for x in (size, d1, d2)], pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())]
+            columns = [batch.column(0), *[pa.array(x, pa.int64()) for x in (size, d1, d2, name)], pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         parts_ = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in counts.reshape(PIECES, -1)]
         nothing = pa.nulls(PIECES, pa.int64())
-        yield pa.RecordBatch.from_arrays([nothing] * 4 + [pa.array(range(PIECES), pa.int32()), pa.array(parts_, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([nothing] * 5 + [pa.array(range(PIECES), pa.int32()), pa.array(parts_, pa.binary())], names)
 
     return run
 
@@ -203,47 +222,75 @@ def _stars(sig: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, li
 
 
 def _signature_rows(n: int, num: int, den: int, hot: np.ndarray):
-    """(doc_id, text) to (sig, doc_id, other) rows.
+    """Texts to (sig, name, other) rows.
 
-    Of the ids of a batch that share a signature only the smallest is sent; the others
-    come as edges (other not null), a spanning forest of the batch. So a signature that
-    a third of all documents have costs its reducer one row a batch.
+    Of the names that share a signature, among as many texts as have SIGNATURES_AT_ONCE
+    of them, only the smallest is sent; the others come as edges (other not null), a
+    spanning forest. So a signature that a third of all documents have costs its
+    reducer a row for thousands of texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            sigs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for c in chunks(batch.column(1)):
-                for i, s in enumerate(shingle_sets(c, n), c.first):
-                    if len(s):
-                        sigs.append(x := signatures(s, num, den, hot))
-                        owners.append(np.full(len(x), ids[i]))
+        sigs, owners, held = [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
             sig, own, inner, root = _stars(np.concatenate(sigs), np.concatenate(owners))
-            sigs = owners = None
             for at in range(0, len(sig), 100_000):
                 part = own[at : at + 100_000]
                 yield _edges(sig[at : at + 100_000].view(np.int64), part, pa.nulls(len(part), pa.int64()))
-            yield _edges(mix(np.array(inner, np.uint64)).view(np.int64), inner, root)
+            yield _edges(mix(np.array(inner, np.int64).view(np.uint64)).view(np.int64), inner, root)
+
+        for batch in batches:
+            for c in chunks(batch.column(0)):
+                for s in shingle_sets(c, n):
+                    if len(s):
+                        sigs.append(x := signatures(s, num, den, hot))
+                        owners.append(np.full(len(x), set_digest(s)[2]))
+                        held += len(x)
+                        if held >= SIGNATURES_AT_ONCE:
+                            yield from out()
+                            sigs, owners, held = [], [], 0
+        if held:
+            yield from out()
 
     return run
 
 
 def _edges(sig, own, other) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sig, own, other)], ["sig", "doc_id", "other"])
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sig, own, other)], ["sig", "name", "other"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some signatures to a forest of the ids that share any."""
-    sigs, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    """Rows sorted by signature (sig, name, other) to edges among names that share any.
+
+    The rows are taken SIGNATURES_AT_ONCE at a time, each time as a spanning forest;
+    the last signature and its head are carried on.
+    """
+    sigs, owners, held = [], [], 0
+
+    def out() -> pa.RecordBatch:
+        sig, own = np.concatenate(sigs), np.concatenate(owners)
+        _, _, inner, root = _stars(sig, own)
+        sigs[:], owners[:] = [sig[-1:]], [own[sig == sig[-1]].min(keepdims=True)]
+        return pa.RecordBatch.from_arrays([pa.array(inner, pa.int64()), pa.array(root, pa.int64())], ["u", "v"])
+
     for batch in batches:
         given = batch.column(2).is_valid()
         yield pa.RecordBatch.from_arrays([batch.column(1).filter(given), batch.column(2).filter(given)], ["u", "v"])
         sent = batch.column(2).is_null()
         sigs.append(np.asarray(batch.column(0).filter(sent)))
         owners.append(np.asarray(batch.column(1).filter(sent)))
-    _, _, inner, root = _stars(np.concatenate(sigs), np.concatenate(owners))
-    yield pa.RecordBatch.from_arrays([pa.array(inner, pa.int64()), pa.array(root, pa.int64())], ["u", "v"])
+        held += len(sigs[-1])
+        if held >= SIGNATURES_AT_ONCE:
+            yield out()
+            held = 0
+    if held:
+        yield out()
+
+
+def _sharing(rows: DataFrame) -> DataFrame:
+    """(node, root) of the names that share signatures (sig, name, other), through others too."""
+    return connected_components(rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_met, EDGE_SCHEMA))
 
 
 class Trie:
@@ -391,14 +438,15 @@ class Trie:
 def join_block(ids: list[int], sets: list[np.ndarray], num: int, den: int, halves: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among a block's sets.
 
-    halves: with two slices, which of them each set is from; sets of the second walk
-    the trie of the first (the pairs within a slice are another task's).
+    halves: whether each set is stored (0) or walks (1); without it every set does both.
     """
+    crossing = halves is not None
+    if crossing and not 0 < sum(halves) < len(halves):
+        return []
     if len(ids) == 2:
         inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(ids[0], ids[1])] if linked(inter, len(sets[0]) + len(sets[1]) - inter, num, den) else []
     forest = Forest()
-    crossing = halves is not None and len(set(halves)) > 1
     ranked, groups = rare_first(sets, num, den)
     for own in groups:
         stored = [i for i in own if not crossing or halves[i] == 0]
@@ -441,15 +489,15 @@ def rare_first(sets: list[np.ndarray], num: int, den: int) -> tuple[list[np.ndar
     return ranked, list(groups.values())
 
 
-def _joined_blocks(n: int, num: int, den: int):
-    """Rows sorted by block (block, half, node, text) to forest edges (u, v)."""
+def _joined_blocks(n: int, num: int, den: int, crossing: bool):
+    """Rows sorted by task (root, low, high, half, node, text) to forest edges (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, sets, halves, edges = None, [], [], [], []
 
         def flush():
             if len(ids) > 1:
-                edges.extend(join_block(ids, sets, num, den, halves))
+                edges.extend(join_block(ids, sets, num, den, halves if crossing else None))
             ids.clear(), sets.clear(), halves.clear()
 
         def out():
@@ -476,6 +524,87 @@ def _joined_blocks(n: int, num: int, den: int):
     return run
 
 
+def _block_tokens(n: int):
+    """(root, doc_id, n, text) to (doc_id, n, token): the set's shingles, told apart by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots, ids, sizes = (np.asarray(batch.column(i)) for i in range(3))
+            for c in chunks(batch.column(3)):
+                sets = shingle_sets(c, n)
+                lens = [len(s) for s in sets]
+                rows = np.repeat(np.arange(c.first, c.first + len(c)), lens)
+                token = mix(np.concatenate(sets) ^ mix(roots[rows].astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(sizes[rows]), pa.array(token.view(np.int64))], ["doc_id", "n", "token"])
+
+    return run
+
+
+class _Join:
+    """The steps of one join that need its parameters and texts."""
+
+    def __init__(self, texts: DataFrame, n: int, num: int, den: int, max_shingles: int):
+        self.texts, self.n, self.num, self.den, self.max_shingles = texts, n, num, den, max_shingles
+
+    def with_texts(self, placed: DataFrame) -> DataFrame:
+        """placed with its texts; texts that aren't asked for stay where they are."""
+        needed = maybe_in(self.texts, "doc_id", bounded_filter(placed.select("doc_id")))
+        return placed.join(needed.hint("merge"), "doc_id")
+
+    def split(self, inside: DataFrame) -> DataFrame:
+        """Heavy blocks (doc_id, n, root) as lighter ones; sets that can't link drop out."""
+        tokens = self.with_texts(inside).select("root", "doc_id", "n", "text").mapInArrow(_block_tokens(self.n), "doc_id long, n long, token long")
+        tokens = materialize(tokens, "tokens")
+        held = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+        shared = salted_join(tokens, held, ["token"], "doc_id")
+        own = Window.partitionBy("doc_id")
+        shared = shared.withColumn("_nth", F.row_number().over(own.orderBy("held", "token"))).withColumn("_all", F.count("*").over(own))
+        # The prefix is the n - ceil(n * num / den) + 1 rarest; n - _all of them are the set's alone.
+        prefix = shared.where(F.expr(f"_nth <= _all + 1 - (n * {self.num} + {self.den - 1}) div {self.den}"))
+        roots = _sharing(prefix.select(F.col("token").alias("sig"), F.col("doc_id").alias("name"), F.lit(None).cast("long").alias("other")))
+        return inside.join(roots, inside.doc_id == roots.node).select("doc_id", "n", roots.root)
+
+    def run(self, tasks: DataFrame, crossing: bool = False) -> DataFrame:
+        """Forest edges of the tasks (root, low, high, half, doc_id)."""
+        texts = self.with_texts(tasks).select("root", "low", "high", "half", F.col("doc_id").alias("node"), "text")
+        # The number is given so that small blocks aren't put together again by their bytes.
+        n_parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        texts = texts.repartition(n_parts, "root", "low", "high").sortWithinPartitions("root", "low", "high")
+        return materialize(texts.mapInArrow(_joined_blocks(self.n, self.num, self.den, crossing), EDGE_SCHEMA), "links")
+
+    def sliced(self, members: DataFrame) -> DataFrame:
+        """(doc_id, n, root, slices, slice): each root's sets dealt to slices by size."""
+        sizes = members.groupBy("root").agg(F.count("*").alias("_sets"), F.sum("n").alias("_all")).where("_sets > 1")
+        cut = sizes.select("root", F.ceil(F.col("_all") / F.lit(self.max_shingles)).cast("int").alias("slices"))
+        placed = salted_join(members, cut, ["root"], "doc_id")
+        return placed.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+
+    def links(self, blocks: DataFrame) -> DataFrame:
+        """Edges (u, v) that link what is linked within the blocks (doc_id, n, root)."""
+        placed = materialize(self.sliced(blocks), "slices")
+        links = self.run(placed.select("root", F.col("slice").alias("low"), F.col("slice").alias("high"), F.lit(0).alias("half"), "doc_id"))
+        members = placed.where("slices > 1")
+        if not members.take(1):
+            return links
+        parts = self.components(members, links)
+        main = parts.groupBy("root", "slice", "part").agg(F.sum("n").alias("_n")).groupBy("root", "slice").agg(F.max_by("part", "_n").alias("doc_id"))
+        links = links.unionByName(self.run(main.select("root", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("half"), "doc_id")))
+        parts = materialize(self.components(members, links), "parts")
+        main = parts.groupBy("root", "part").agg(F.sum("n").alias("_n")).groupBy("root").agg(F.max_by("part", "_n").alias("_main"))
+        rest = salted_join(parts, main, ["root"], "doc_id").where("part <> _main").select("doc_id", "n", "root", F.col("slices").alias("_others"))
+        sizes = rest.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(self.max_shingles)).cast("int").alias("walks"))
+        walking = salted_join(rest, sizes, ["root"], "doc_id")
+        walking = walking.select("root", F.pmod(F.xxhash64("doc_id"), F.col("walks")).cast("int").alias("low"), F.explode(F.sequence(F.lit(0), F.col("_others") - 1)).alias("high"), F.lit(1).alias("half"), "doc_id")
+        stored = salted_join(members, sizes, ["root"], "doc_id")
+        stored = stored.select("root", F.explode(F.sequence(F.lit(0), F.col("walks") - 1)).alias("low"), F.col("slice").alias("high"), F.lit(0).alias("half"), "doc_id")
+        return links.unionByName(self.run(stored.unionByName(walking), crossing=True))
+
+    def components(self, members: DataFrame, links: DataFrame) -> DataFrame:
+        """members with the smallest id that the links reach from each, as part."""
+        roots = connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("_part"))
+        return members.join(roots, "doc_id", "left").withColumn("part", F.coalesce("_part", "doc_id")).drop("_part")
+
+
 def jaccard_components(
     df: DataFrame,
     n: int = 5,
@@ -483,7 +612,7 @@ def jaccard_components(
     den: int = 10,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_block: int = MAX_BLOCK,
+    max_shingles: int = MAX_SHINGLES,
 ) -> DataFrame:
     """One row a row of df: the id, n_shingles and component_id.
 
@@ -494,36 +623,36 @@ def jaccard_components(
     Defined cases: a null, empty or wordless text has the empty set, which is linked
     with nothing; rows with a null id get a null component_id; rows that repeat an id
     are one node (each row keeps its own n_shingles, the node has the links of all of
-    them); an empty table gives an empty result; other columns aren't read.
+    them); an empty table gives an empty result; other columns aren't read. Ids are
+    whole numbers: the column is cast to long, and text that isn't one fails the job.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(docs.mapInArrow(_set_rows(n), SET_SCHEMA), "sets")
     hot = hot_buckets(rows.where("piece is not null").select("piece", "counts"))
     sized = rows.where("piece is null").drop("piece", "counts")
     some = sized.where("n_shingles > 0 and doc_id is not null")
-    same = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    copies = some.join(same, ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    # Equal sets are one node: only the smallest id of each goes on.
+    same = materialize(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("_last"), F.max("n_shingles").alias("n"), F.max("name").alias("name")), "nodes")
 
     full = docs.where("doc_id is not null and text is not null")
-    sent = full.mapInArrow(_signature_rows(n, num, den, hot), "sig long, doc_id long, other long")
-    blocks = connected_components(sent.repartition("sig").mapInArrow(_met, EDGE_SCHEMA))
-
-    # Copies of a set aren't compared: only the smallest id of each goes to its block.
-    alone = same.join(blocks, same.node == blocks.node).select(same.node.alias("doc_id"), "root")
-    alone = materialize(alone, "blocks")
-    sizes = alone.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    cut = sizes.select("root", F.ceil(F.col("n") / F.lit(max_block)).cast("int").alias("slices"))
-    placed = alone.join(cut, "root").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
-    # Slice i meets slice j in task (min, max); with one slice that is (0, 0).
-    placed = placed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    placed = placed.select("doc_id", "root", F.least("slice", "mate").alias("low"), F.greatest("slice", "mate").alias("high"), (F.col("slice") > F.col("mate")).cast("int").alias("half"))
-    # Texts without a block stay where they are.
-    needed = maybe_in(full, "doc_id", bounded_filter(placed.select("doc_id")))
-    texts = placed.join(needed.hint("merge"), "doc_id").select("root", "low", "high", "half", F.col("doc_id").alias("node"), "text")
-    # The number is given so that small blocks aren't put together again by their bytes.
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = texts.repartition(n_parts, "root", "low", "high").sortWithinPartitions("root", "low", "high")
-    links = texts.mapInArrow(_joined_blocks(n, num, den), EDGE_SCHEMA)
-    roots = connected_components(links.unionByName(copies))
-    out = sized.join(roots, sized.doc_id == roots.node, "left")
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    blocks = _sharing(full.select("text").mapInArrow(_signature_rows(n, num, den, hot), "sig long, name long, other long"))
+    alone = salted_join(same.select(F.col("node").alias("doc_id"), "n", "name"), blocks.withColumnRenamed("node", "name"), ["name"], "doc_id", how="left")
+    alone = materialize(alone.select("doc_id", "n", F.coalesce("root", "name").alias("root")), "blocks")
+    join = _Join(full, n, num, den, max_shingles)
+    heavy = materialize(alone.groupBy("root").agg(F.sum("n").alias("_all")).where(F.col("_all") > max_shingles).select("root"), "heavy")
+    if heavy.take(1):
+        inside = materialize(salted_join(alone, heavy, ["root"], "doc_id"), "inside")
+        light = alone.join(heavy, "root", "left_anti")
+        alone = light.select("doc_id", "n", "root").unionByName(join.split(inside).select("doc_id", "n", "root"))
+    links = join.links(alone)
+
+    # Ids whose rows have different sets hold those sets' nodes together.
+    many = materialize(some.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b")).where("a <> b").select("doc_id"), "repeated")
+    if many.take(1):
+        rows_of = some.join(many, "doc_id").select("doc_id", "d1", "d2").distinct()
+        links = links.unionByName(rows_of.join(same, ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
+    roots = connected_components(links)
+    known = same.join(roots, "node", "left").where("root is not null or _last > node").select("d1", "d2", F.coalesce("root", "node").alias("component_id"))
+    found = salted_join(some, known, ["d1", "d2"], "doc_id", how="left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    without = sized.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(without).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")

@@ -14,9 +14,14 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where it is unset."""
+    """The folder of spark.checkpoint.dir; one of its own where that is unset in local mode.
+
+    On a cluster a folder that only one machine sees would lose rows, so there it must be set.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="packwright-"))
         where = _own[0]
@@ -71,8 +76,8 @@ def maybe_in(df: DataFrame, id_col: str, words: DataFrame) -> DataFrame:
 SALTS = 4
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
-    """An inner join whose hot keys are split.
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: str, how: str = "inner") -> DataFrame:
+    """An inner or left join whose hot keys are split.
 
     big's rows of a key go to SALTS groups by a hash of ``salt_by``; small's rows are
     copied to each. As small is dealt out anew (it may come from an aggregation by the
@@ -80,4 +85,4 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: str)
     """
     salt = F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")
+    return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")

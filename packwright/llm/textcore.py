@@ -21,9 +21,13 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so every power is invertible
-_BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, (2, 256), np.uint64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Seeds of the independent hash lanes.
+_LANES = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
+_ODDS = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
+#: Spans above this many bytes are hashed as a tree of pieces of that size.
+LEAF = 256
+#: The first n bytes of a little-endian word of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,22 +40,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of a base and of its inverse modulo 2**64, at least n of them."""
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 65536)
-        out = []
-        for base in (_BASES[which], pow(_BASES[which], -1, 2**64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        have = (out[0], out[1])
-        if size <= 8 * CHUNK_BYTES:  # the powers for a giant text aren't kept
-            _POWERS[which] = have
-    return have
-
-
 @dataclass
 class Chunk:
     """Some consecutive texts of a batch: rows [first, first + len(starts)) of it."""
@@ -67,9 +55,6 @@ class Chunk:
     def text(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
 
-    def prefix_hash(self, lower: bool, which: int = 0) -> SpanHash:
-        return SpanHash(self.buf, lower, which)
-
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and word offsets by text (len + 1 of them)."""
         solid = ~SPACE[self.buf]
@@ -86,19 +71,47 @@ class Chunk:
 
 
 class SpanHash:
-    """Hashes of arbitrary byte spans of a buffer from one cumulative sum."""
+    """Hashes of arbitrary byte spans of a buffer, eight bytes a step of all spans at once.
+
+    Each step mixes the bytes into the state through a bijection of 64 bits, so there is
+    no algebra over positions that texts could be made to cancel in. Lanes (``which``)
+    differ in seed and multiplier.
+    """
 
     def __init__(self, buf: np.ndarray, lower: bool, which: int = 0):
-        self.up, self.down = _powers(len(buf) + 1, which)
-        codes = _BYTE_CODES[which]
-        if lower:
-            codes = codes[LOWER]
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(codes[buf] * self.up[: len(buf)], out=self.sums[1:])
+        padded = np.zeros(len(buf) + 8, np.uint8)
+        padded[: len(buf)] = LOWER[buf] if lower else buf
+        self.eights = np.lib.stride_tricks.as_strided(padded.view(), (len(buf) + 1, 8), (1, 1)).view("<u8").reshape(-1) if len(buf) else np.zeros(1, np.uint64)
+        self.which = which
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix(h + (ends - starts).astype(np.uint64))
+        n = ends - starts
+        far = np.flatnonzero(n > LEAF)
+        if not len(far):
+            return self._leaves(starts, n)
+        out = np.empty(len(n), np.uint64)
+        near = np.flatnonzero(n <= LEAF)
+        out[near] = self._leaves(starts[near], n[near])
+        pieces = -(-n[far] // LEAF)
+        stops = np.cumsum(pieces)
+        inner = np.arange(stops[-1]) - np.repeat(stops - pieces, pieces)
+        begins = np.repeat(starts[far], pieces) + LEAF * inner
+        made = self._leaves(begins, np.minimum(LEAF, np.repeat(ends[far], pieces) - begins))
+        above = SpanHash(made.view(np.uint8), False, self.which).of(8 * (stops - pieces), 8 * stops)
+        out[far] = mix(above ^ (n[far].astype(np.uint64) * _ODDS[1 - self.which]))
+        return out
+
+    def _leaves(self, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        odd = _ODDS[self.which]
+        acc = mix(n.astype(np.uint64) + _LANES[self.which])
+        acc = mix((acc ^ (self.eights[starts] & _FIRST[np.minimum(n, 8)])) * odd)
+        at, more = 8, np.flatnonzero(n > 8)
+        while len(more):
+            left = n[more] - at
+            acc[more] = mix((acc[more] ^ (self.eights[starts[more] + at] & _FIRST[np.minimum(left, 8)])) * odd)
+            at += 8
+            more = more[left > 8]
+        return acc
 
 
 def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:

@@ -63,11 +63,11 @@ def corpus(seed, n=140):
 
 
 @pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 8, 10)])
-@pytest.mark.parametrize("max_block", [2000, 7])
-def test_components_equal_brute_force(spark, n, num, den, max_block):
+@pytest.mark.parametrize("max_shingles", [1 << 18, 700])
+def test_components_equal_brute_force(spark, n, num, den, max_shingles):
     docs = corpus(n)
     df = spark.createDataFrame([(i, t, 5) for i, t in docs], "doc_id long, text string, component_id int").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, n, num, den, max_block=max_block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, n, num, den, max_shingles=max_shingles).collect()}
     assert got == brute(docs, n, num, den)
 
 
