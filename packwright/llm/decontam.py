@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packwright.llm.shared import without_ids
 from packwright.llm.textcore import chunks, mix, word_hashes
 
 #: The spaced seeds: 1 is a position that counts.
@@ -220,6 +221,8 @@ def _on(sent, min_window: int, identity: float):
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """df without the documents that hold a benchmark passage; rows with a null id stay."""
-    bad = contaminated(df, benchmark, id_col, **options).select("doc_id").distinct()
-    return df.join(bad.withColumnRenamed("doc_id", "_leaked_id"), df[id_col] == F.col("_leaked_id"), "left_anti")
+    """df without the documents that hold a benchmark passage; rows with a null id stay.
+
+    An empty benchmark leaves df as it is; df's columns may have any names.
+    """
+    return without_ids(df, contaminated(df, benchmark, id_col, **options).select("doc_id"), id_col)

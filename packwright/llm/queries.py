@@ -72,8 +72,7 @@ def op8_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    out = mixing.mix_rows(docs, domain_of(), F.col("lang"), F.col("source"), mixing.word_count(F.col("text")), weights=MIX_WEIGHTS)
-    return out.drop("_key")
+    return mixing.mix_rows(docs, domain_of(), F.col("lang"), F.col("source"), mixing.word_count(F.col("text")), weights=MIX_WEIGHTS)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +80,43 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def _mixing_sql(fraction: float = 0.5, max_epochs: int = 2, seed: int = 0) -> str:
+    """The mixing query: one water level for each level of the tree, then running sums."""
+    levels = ["domain", "language", "source"]
+    steps = [f"b0 AS (SELECT *, floor(sum(tokens) OVER () * {fraction}) AS b FROM leaf)"]
+    for k, level in enumerate(levels):
+        path, parent = ", ".join(levels[: k + 1]), ", ".join(["1", *levels[:k]])
+        weight = " ".join(f"WHEN {level} = '{name}' THEN {float(w)}" for name, w in MIX_WEIGHTS.get(level, {}).items())
+        weight = f"CASE {weight} ELSE 1.0 END" if weight else "1.0"
+        on = " AND ".join(f"l.{c} IS NOT DISTINCT FROM s.{c}" for c in levels[: k + 1])
+        order = f"PARTITION BY {parent} ORDER BY ratio NULLS LAST, {path} ROWS BETWEEN"
+        steps += [
+            f"own{k} AS (SELECT {path}, max(b) AS b, ({weight})::DOUBLE AS w, (sum(tokens) * {max_epochs})::DOUBLE AS room FROM b{k} GROUP BY {path})",
+            f"ratio{k} AS (SELECT *, CASE WHEN w > 0 THEN room / w END AS ratio FROM own{k})",
+            f"level{k} AS (SELECT *, (b - coalesce(sum(room) OVER ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0))"
+            f" / sum(w) OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM ratio{k})",
+            f"water{k} AS (SELECT *, max(CASE WHEN lv <= ratio THEN lv END) OVER (PARTITION BY {parent}) AS water FROM level{k})",
+            f"share{k} AS (SELECT *, round(CASE WHEN ratio IS NULL THEN 0 WHEN water IS NULL THEN room ELSE least(room, water * w) END, 4) AS share FROM water{k})",
+            f"b{k + 1} AS (SELECT l.domain, l.language, l.source, l.tokens, s.share AS b FROM b{k} l JOIN share{k} s ON {on})",
+        ]
+    on = " AND ".join(f"d.{c} IS NOT DISTINCT FROM e.{c}" for c in levels)
+    return rf"""
+        WITH docs AS (
+            SELECT doc_id, CASE coalesce(try_cast(regexp_extract(source, '(\d+)$', 1) AS BIGINT), 0) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'books' ELSE 'code' END AS domain,
+                   lang AS language, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+        leaf AS (SELECT domain, language, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY domain, language, source),
+        {", ".join(steps)},
+        epochs AS (SELECT *, CASE WHEN tokens > 0 THEN floor(b)::BIGINT // tokens ELSE 0 END AS whole FROM b3),
+        placed AS (
+            SELECT d.*, e.whole, floor(e.b)::BIGINT - e.whole * e.tokens AS rest, md5(concat_ws(':', '{seed}', e.whole::VARCHAR, d.doc_id::VARCHAR)) AS place
+            FROM docs d JOIN epochs e ON {on}),
+        sums AS (
+            SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed)
+        SELECT doc_id, domain, language, source, n_tokens, (whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM sums"""
+
+
 SQL: dict[str, str] = {
+    "op9_source_mixing": _mixing_sql(),
     "op4_url_filter": r"""
         WITH rules(rhost, rpath, verdict) AS (
             VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),

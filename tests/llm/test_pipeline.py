@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 from conftest import SF
+from pyspark.sql import functions as F
 from test_joins import WORD, brute, lower
 from test_texts import brute_lines, fill
 
@@ -76,3 +77,18 @@ def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_take_clashing_names_and_odd_rows(spark):
+    names = ["_gone", "_leaked_id", "score", "lang_pred", "component_id", "_drops", "_c0", "a.b", "name"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    odd = spark.createDataFrame([(None, "some words in a text", None, None, None), (5, None, "en", "s1", 0), (5, "", "en", "s1", 0), (6, "twice here", "en", "s1", 3), (6, "twice here", "en", "s1", 3)], docs.schema)
+    docs = docs.unionByName(odd)
+    for c in names:
+        docs = docs.withColumn(c, F.lit("kept"))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        got, want = stage(spark, docs, SF), stage(spark, plain, SF)
+        assert got.columns[: len(docs.columns)] == docs.columns
+        assert sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, want.select(plain.columns).collect())), name
+        assert {tuple(r) for r in got.select(*[f"`{c}`" for c in names]).collect()} <= {("kept",) * len(names)}

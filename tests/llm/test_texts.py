@@ -282,25 +282,52 @@ def test_water_level_is_the_repeated_redistribution(spark):
     assert all(abs(got[x] - want[x]) < 0.01 for x in want)
 
 
-def test_mixing_budgets_and_prefixes(spark):
+def mixed_by_hand(rows, fraction, weights, epochs):
+    """Copies by id, for (id, domain, language, source, tokens) rows with ids of their own."""
+    share = {(): float(int(sum(r[4] for r in rows) * fraction))}
+    for depth, level in enumerate(("domain", "language", "source")):
+        room = defaultdict(int)
+        for r in rows:
+            room[r[1 : depth + 2]] += r[4]
+        for path in [p for p in share if len(p) == depth]:
+            kids = sorted((p for p in room if p[:-1] == path), key=str)
+            amounts = fill(share[path], [(weights.get(level, {}).get(p[-1], 1.0), epochs * float(room[p])) for p in kids])
+            share.update({p: round(x, 4) for p, x in zip(kids, amounts, strict=True)})
+    out = {}
+    for leaf in {r[1:4] for r in rows}:
+        own = [r for r in rows if r[1:4] == leaf]
+        tokens, budget = sum(r[4] for r in own), int(share[leaf])
+        whole = budget // tokens if tokens else 0
+        used, order = 0, lambda r, w=whole: hashlib.md5(f"0:{w}:{r[0]}".encode()).hexdigest()
+        for r in sorted(own, key=order):
+            used += r[4]
+            out[r[0]] = whole + (used <= budget - whole * tokens)
+    return out
+
+
+def test_mixing_equals_the_tree_filled_by_hand(spark):
     rng = random.Random(8)
-    rows = [(i, rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "s3"]), " ".join(["w"] * rng.randint(0, 60))) for i in range(400)]
-    df = spark.createDataFrame(rows + [(None, "en", "s1", None), (7, "en", "s1", "w w")] * 2, "doc_id long, lang string, source string, text string")
-    weights = {"domain": {"a": 3.0, "b": 1.0}}
-    domain = F.when(F.col("source") == "s1", "a").otherwise("b")
-    got = mixing.mix_rows(df, domain, F.col("lang"), F.col("source"), mixing.word_count(F.col("text")), fraction=0.5, weights=weights, max_epochs=2).collect()
-    assert len(got) == 404 and {r.copies for r in got} <= {0, 1, 2}
-    total = sum(r.n_tokens for r in got)
-    by = defaultdict(int)
-    for r in got:
-        by[r.domain] += r.copies * r.n_tokens
-    room = {d: 2 * sum(r.n_tokens for r in got if r.domain == d) for d in ("a", "b")}
-    goal = dict(zip("ab", fill(total * 0.5, [(3.0, room["a"]), (1.0, room["b"])]), strict=True))
-    assert all(goal[d] - 61 * 9 <= by[d] <= goal[d] + 1 for d in goal)
-    again = mixing.mix_rows(df.repartition(5), domain, F.col("lang"), F.col("source"), mixing.word_count(F.col("text")), fraction=0.5, weights=weights, max_epochs=2).collect()
-    assert Counter(map(str, got)) == Counter(map(str, again))
-    assert mixing.mix_rows(df.limit(0), domain, F.col("lang"), F.col("source"), F.lit(1)).count() == 0
-
-
-def test_digest_of_kept_text():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+    domains = {"s1": "a", "s2": "b", "s3": "b", None: "b"}
+    rows = []
+    for i in range(500):
+        source = rng.choice(["s1", "s1", "s2", "s3", None])
+        rows.append((i, domains[source], rng.choice(["en", "de", None]), source, rng.choice([0, 1, 7, 60, 900])))
+    weights = {"domain": {"a": 3.0, "b": 1.0}, "language": {"de": 0.0}}
+    df = spark.createDataFrame([(i, s, d, l, n, "x") for i, d, l, s, n in rows], "doc_id long, source string, d string, lang string, n int, copies string").repartition(3)
+    for fraction, epochs in ((0.5, 2), (0.1, 1), (5.0, 3)):
+        got = mixing.mix_rows(df, F.col("d"), F.col("lang"), F.col("source"), F.col("n"), fraction=fraction, weights=weights, max_epochs=epochs).collect()
+        assert {r.doc_id: r.copies for r in got} == mixed_by_hand(rows, fraction, weights, epochs)
+
+
+def test_mixing_edge_rows(spark):
+    rows = [(i, "en", "s1", "w w") for i in range(9)] + [(None, "en", "s1", None), (7, "en", "s1", "w w")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    args = (F.lit("a"), F.col("lang"), F.col("source"), mixing.word_count(F.col("text")))
+    got = mixing.mix_rows(df, *args).collect()
+    assert len(got) == 13 and len({r.copies for r in got if r.doc_id == 7}) == 1
+    assert 11 - 2 * 3 <= sum(r.copies * r.n_tokens for r in got) <= 11
+    assert mixing.mix_rows(df.limit(0), *args).count() == 0
+    wide = df.withColumn("domain", F.lit(5)).withColumn("a.b", F.lit(6))
+    out = mixing.mix(wide, *args)
+    assert out.columns == ["doc_id", "lang", "text", "a.b", "domain", "language", "source", "n_tokens", "copies"]
+    assert {(r.domain, r.source, r["a.b"]) for r in out.collect()} == {("a", "s1", 6)}
