@@ -1,20 +1,26 @@
 """Main-text extraction by composite text density.
 
-The page becomes a DOM; what can't be article text by its tag, role or class is taken
-out. Each remaining node gets its composite density: characters per tag, adjusted by the
-share of link characters and links (Sun, Song and Liao, SIGIR 2011). A node's density sum
-adds its children's densities; the container with the largest sum is the core of the
-article. The smallest density on the path from the body to it is the threshold: other
-subtrees at or above it contribute the container with their own largest sum. An
-``article`` or ``main`` around a chosen container is taken as a whole, since short
-headings and paragraphs in it have low densities but belong to the text.
+The page becomes a DOM. Each node gets its composite density: characters per tag,
+adjusted by the share of link characters and links (Sun, Song and Liao, SIGIR 2011); a
+node's density sum adds its children's densities. The container with the largest sum is
+the core of the article. The smallest density on the path from the body to it is the
+threshold: other subtrees at or above it contribute the container with their own largest
+sum. Where the core stands in an ``article`` or ``main``, that is taken as a whole, since
+short headings and paragraphs in it have low densities but belong to the text.
+
+Tags, roles and class names that tell of menus, adverts, forms or comments are a prior
+and no verdict: a marked subtree goes only if the rest of the page has a density sum that
+bears comparison with the subtree's (``PRIORS``). A wrapper around the whole article
+stays, whatever it is called, and what is marked inside of it is judged in turn.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,17 +45,27 @@ BLOCK = frozenset(
 )
 CONTAINERS = frozenset("article blockquote body center details div dl figure main ol section table tbody td tr ul".split())
 WHOLE = frozenset(("article", "main"))
-DROPPED_TAGS = frozenset(
-    "aside audio button canvas dialog embed fieldset footer form head iframe input map menu nav noembed noframes noscript object"
-    " script select style svg template textarea title video".split()
+#: What these hold is never shown as text.
+SILENT_TAGS = frozenset(
+    "audio button canvas embed head iframe input map noembed noframes noscript object script select style svg template textarea title video".split()
 )
-DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
-DROPPED_NAMES = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies"
-    " copyright disclaimer discussion disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices"
-    " outbrain overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing"
+#: Kinds of marks, and how many times the density sum of everything unmarked a marked
+#: subtree must have to be the article after all.
+PRIORS = {"name": 3.0, "form": 3.0, "hidden": 10.0, "tag": 30.0, "role": 30.0, "comment": 30.0}
+#: Characters outside of links without which nothing that is marked is an article.
+LEAST_CHARS = 100
+MARKED_TAGS = frozenset("aside dialog footer menu nav".split())
+FORM_TAGS = frozenset("fieldset form".split())
+MARKED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
+MARKED_NAMES = frozenset(
+    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies"
+    " copyright disclaimer footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices"
+    " outbrain overlay pager pagination popup promo promoted promotion recommended related search share sharing"
     " sidebar signup skip social sponsor sponsored subscribe taboola toolbar widget widgets".split()
 )
+COMMENT_NAMES = frozenset("comment comments discussion disqus replies reply respond".split())
+#: A class with one of these words tells of something that is or isn't there: no-sidebar.
+MODIFIERS = frozenset("has have hide is no non not off on show with without".split())
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _NAME = re.compile(r"[^a-z0-9]+")
 
@@ -66,7 +82,7 @@ _IMPLIED = {
 
 
 class Node:
-    __slots__ = ("attrs", "chars", "density", "kids", "link_chars", "links", "parent", "tag", "tags", "total")
+    __slots__ = ("attrs", "chars", "density", "kids", "link_chars", "links", "mark", "parent", "peak", "tag", "tags", "top", "total")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
@@ -77,6 +93,7 @@ def parse(page: str) -> Node:
     """A forgiving DOM: unclosed paragraphs, items and inline tags end where they must."""
     root = Node("html", None)
     stack = [root]
+    opened: Counter[str] = Counter()  # by tag, so that an end tag without a start costs no search
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -94,9 +111,9 @@ def parse(page: str) -> Node:
                 root.attrs = attrs or " "
                 continue
             if name in BLOCK:
-                _close(stack, frozenset(("p",)), CONTAINERS)
+                _close(stack, opened, frozenset(("p",)), CONTAINERS)
             if name in _IMPLIED:
-                _close(stack, *_IMPLIED[name])
+                _close(stack, opened, *_IMPLIED[name])
             node = Node(name, stack[-1], attrs)
             stack[-1].kids.append(node)
             if name in RAW:
@@ -107,20 +124,20 @@ def parse(page: str) -> Node:
                 at = stop.end() if stop else end
             elif name not in VOID and not attrs.endswith("/"):
                 stack.append(node)
+                opened[name] += 1
         elif name := m["end"]:
             name = name.lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
-                if name not in BLOCK and stack[i].tag in BLOCK:
-                    break
+            _close(stack, opened, frozenset((name,)), frozenset() if name in BLOCK else BLOCK)
     return root
 
 
-def _close(stack: list[Node], tags: frozenset[str], scope: frozenset[str]) -> None:
+def _close(stack: list[Node], opened: Counter[str], tags: frozenset[str], scope: frozenset[str]) -> None:
+    """End the innermost open element of ``tags``, unless one of ``scope`` is further in."""
+    if not any(opened[t] for t in tags):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
+            opened.subtract(n.tag for n in stack[i:])
             del stack[i:]
             return
         if stack[i].tag in scope:
@@ -136,40 +153,92 @@ def _below(node: Node) -> Iterator[Node]:
         todo.extend(k for k in reversed(n.kids) if not isinstance(k, str))
 
 
-def _unwanted(node: Node, inside_article: bool) -> bool:
-    if node.tag in DROPPED_TAGS:
-        return True
-    if node.tag == "header":
-        return not inside_article
-    if not node.attrs or node.tag in ("html", "body", "article", "main"):
-        return False
+def _mark(node: Node, inside_article: bool) -> str | None:
+    """The kind of mark that a node's tag, role, style or names put on it."""
+    if node.tag in MARKED_TAGS or (node.tag == "header" and not inside_article):
+        return "tag"
+    if node.tag in FORM_TAGS:
+        return "form"
+    if not node.attrs or node.tag in ("html", "body"):
+        return None
+    found = set()
     for m in _ATTR.finditer(node.attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-        if name == "role" and value.strip().lower() in DROPPED_ROLES:
-            return True
-        if name in ("class", "id"):
-            words = _NAME.split(_CAMEL.sub(" ", value).lower())
-            if not DROPPED_NAMES.isdisjoint(words) or ("header" in words and not inside_article):
-                return True
-    return False
+            found.add("hidden")
+        elif name == "role" and value.strip().lower() in MARKED_ROLES:
+            found.add("role")
+        elif name in ("class", "id"):
+            for part in value.split():
+                words = set(_NAME.split(_CAMEL.sub(" ", part).lower()))
+                if not words & MODIFIERS:
+                    if words & COMMENT_NAMES:
+                        found.add("comment")
+                    elif words & MARKED_NAMES or ("header" in words and not inside_article):
+                        found.add("name")
+    return max(found, key=lambda k: (PRIORS[k], k), default=None)
 
 
 def prune(root: Node) -> None:
-    """Take out what can't be article text; never what holds an article or main."""
-    holds = set()
-    for n in _below(root):
-        if n.tag in WHOLE:
-            while n is not None and id(n) not in holds:
-                holds.add(id(n))
-                n = n.parent
+    """Take out what is never text, then the marked subtrees that aren't the article.
+
+    The marked subtrees that no other one holds are looked at in the order of their
+    largest density sums. One that outweighs all that is unmarked by its kind's factor
+    is unmarked, and those that it holds are looked at as well; the others go.
+    """
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
+        node.mark = None if node is root else _mark(node, inside)
         inside = inside or node.tag in WHOLE
-        node.kids = [k for k in node.kids if isinstance(k, str) or id(k) in holds or not _unwanted(k, inside)]
+        node.kids = [k for k in node.kids if isinstance(k, str) or k.tag not in SILENT_TAGS]
         todo.extend((k, inside) for k in node.kids if not isinstance(k, str))
+    measure(root)
+    order = list(_below(root))
+    for n in reversed(order):
+        kids = [k for k in n.kids if not isinstance(k, str)]
+        # The largest sum in the subtree, with everything marked that it holds left out and counted in.
+        own = max(n.density if n.chars else 0.0, sum(k.density for k in kids if not k.mark))
+        free = max([own, *(k.peak[0] for k in kids if not k.mark)])
+        n.peak = free, max([free, n.total, *(k.peak[1] for k in kids)])
+    free, waiting = root.peak[0], _outermost_marked(root)
+    heap = [(-n.peak[1] / PRIORS[n.mark], i, n) for i, n in enumerate(waiting)]
+    heapq.heapify(heap)
+    count = len(heap)
+    # The root's own density counts what is marked too: what counts is the text that is left.
+    left = root.chars - sum(n.chars for n in waiting)
+    if not left:
+        free = 0.0
+    while heap:
+        worth, _, n = heapq.heappop(heap)
+        if -worth <= free:
+            break
+        if n.chars - n.link_chars < LEAST_CHARS:
+            continue
+        n.mark = None
+        inner = _outermost_marked(n)
+        if n.chars > sum(k.chars for k in inner):
+            free = max(free, n.peak[0])
+        for k in inner:
+            heapq.heappush(heap, (-k.peak[1] / PRIORS[k.mark], count, k))
+            count += 1
+    kept = [root]
+    while kept:
+        n = kept.pop()
+        n.kids = [k for k in n.kids if isinstance(k, str) or not k.mark]
+        kept.extend(k for k in n.kids if not isinstance(k, str))
+
+
+def _outermost_marked(node: Node) -> list[Node]:
+    """The marked nodes below a node that no marked node between holds."""
+    out, todo = [], [k for k in node.kids if not isinstance(k, str)]
+    while todo:
+        n = todo.pop()
+        if n.mark:
+            out.append(n)
+        else:
+            todo.extend(k for k in n.kids if not isinstance(k, str))
+    return out
 
 
 def measure(root: Node) -> None:
@@ -198,50 +267,67 @@ def measure(root: Node) -> None:
         n.total = sum(k.density for k in n.kids if not isinstance(k, str))
 
 
-def _largest(node: Node) -> Node:
-    best = node
-    for n in _below(node):
-        if n.tag in CONTAINERS and n.chars and n.total > best.total:
-            best = n
-    while best.tag not in CONTAINERS and best.parent is not None:
-        best = best.parent
-    return best
+def _tops(order: list[Node]) -> None:
+    """For every node the container with the largest density sum in its subtree, the
+    first of ties; a node without any is its own."""
+    for n in reversed(order):
+        best = n if n.tag in CONTAINERS and n.chars else None
+        for k in n.kids:
+            if not isinstance(k, str) and k.top is not None and (best is None or k.top.total > best.total):
+                best = k.top
+        n.top = best
 
 
-def _enclosing(node: Node) -> Node:
-    """The outermost article or main around a node, or the node itself."""
-    best, n = node, node
+def select(root: Node) -> tuple[list[Node], list[Node]]:
+    """The chosen subtrees, and subtrees in them that are left out."""
+    order = list(_below(root))
+    _tops(order)
+    body = next((n for n in order if n.tag == "body"), root)
+    core = body.top or body
+    threshold, n, outer = core.density, core, None
     while n is not None:
         if n.tag in WHOLE:
-            best = n
-        n = n.parent
-    return best
-
-
-def select(root: Node) -> list[Node]:
-    """The chosen subtrees."""
-    body = next((n for n in _below(root) if n.tag == "body"), root)
-    core = _largest(body)
-    threshold, n = core.density, core
-    while n is not None:
-        threshold = min(threshold, n.density)
+            outer = n
         if n is body:
             break
+        threshold = min(threshold, n.density)
         n = n.parent
-    chosen = {id(x): x for x in (_enclosing(core),)}
-    articles = any(x.tag in WHOLE for x in _below(body))
-    for n in _below(body):
-        if n.tag in CONTAINERS and n.chars and n.density >= threshold:
-            found = _enclosing(_largest(n))
-            # Where the page marks its articles, nothing outside of them is text.
-            if not articles or found.tag in WHOLE:
+    threshold = min(threshold, body.density)
+    chosen = {id(x): x for x in (outer or core,)}
+    # Around each node: the outermost article or main, and whether an article holds it.
+    left_out: list[Node] = []
+    path = set()
+    n = core
+    while n is not None:
+        path.add(id(n))
+        n = n.parent
+    todo: list[tuple[Node, Node | None, bool]] = [(body, None, False)]
+    while todo:
+        n, whole, held = todo.pop()
+        if n.tag == "article" and held and id(n) not in path and not _holds(core, n):
+            left_out.append(n)  # an article within an article is a comment on it
+            continue
+        whole = whole or (n if n.tag in WHOLE else None)
+        held = held or n.tag == "article"
+        if n.tag in BLOCK and n.chars and n.density >= threshold:
+            # Where the core stands in an article, nothing outside of articles is text.
+            if whole is not None:
+                chosen[id(whole)] = whole
+            elif outer is None:
+                found = n.top or n
                 chosen[id(found)] = found
-    return list(chosen.values())
+        todo.extend((k, whole, held) for k in n.kids if not isinstance(k, str))
+    return list(chosen.values()), left_out
 
 
-def render(root: Node, chosen: list[Node]) -> str:
+def _holds(node: Node, below: Node) -> bool:
+    """Whether ``below`` stands in node and node is no article itself."""
+    return node.tag != "article" and any(k is below for k in node.kids)
+
+
+def render(root: Node, chosen: list[Node], left_out: list[Node]) -> str:
     """The text of the chosen subtrees in page order, block by block."""
-    marked = {id(n) for n in chosen}
+    marked, gone = {id(n) for n in chosen}, {id(n) for n in left_out}
     blocks: list[str] = []
     run: list[str] = []
 
@@ -261,7 +347,7 @@ def render(root: Node, chosen: list[Node]) -> str:
         elif isinstance(n, str):
             if inside:
                 run.append(n)
-        else:
+        elif id(n) not in gone:
             inside = inside or id(n) in marked
             apart = n.tag in BLOCK or n.tag == "br"
             if apart:
@@ -281,7 +367,7 @@ def extract_text(page: str | None) -> str:
     measure(root)
     if not root.chars:
         return ""
-    return render(root, select(root))
+    return render(root, *select(root))
 
 
 def extract_pages(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), text_name: str = "text") -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -238,6 +240,81 @@ def test_pages(page, text):
     assert htmltext.extract_text(page) == text
 
 
+FIRST, SECOND = "A long paragraph tells of many things, one after the other. " * 5, "A second one goes on with further words, and some more. " * 5
+STORY, TOLD = f"<p>{FIRST}</p><p>{SECOND}</p>", f"{FIRST.strip()} {SECOND.strip()}"
+NAV, FOOT = "<nav><ul><li><a href=x>Home</a></li><li><a href=y>About us</a></li></ul></nav>", "<footer>&copy; 2020 a company</footer>"
+REPLIES = "".join(f'<article class="comment"><p>Reader {i} says that this is great and goes on a little.</p></article>' for i in range(40))
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f'<div class="content no-sidebar">{STORY}</div>',
+        f'<div class="has-sidebar"><div>{STORY}</div><div class="sidebar">side <a href=x>link</a></div></div>',
+        f'<div class="recipe cookie">{STORY}</div>',
+        f'<div class="cookie"><div id="footer"><form>{STORY}</form></div></div>',
+        f"<article><div>{STORY}</div><section class=comments>{REPLIES}</section></article>",
+        f'<div>{STORY}</div><div id="comments">{REPLIES}</div>',
+        f"<article>{STORY}<article><p>A reader says much about this.</p></article></article>",
+        f"<div class=cookie-banner><p>{'We use cookies for everything. ' * 4}</p></div><article>{STORY}</article>",
+        f"<aside><p>{'Something else entirely. ' * 8}</p></aside><div>{STORY}</div>",
+    ],
+)
+def test_density_decides_and_names_are_a_prior(body):
+    assert htmltext.extract_text(f"<html><body>{NAV}{body}{FOOT}</body></html>") == TOLD
+    assert htmltext.extract_text(f'<html><body><form id="aspnetForm">{NAV}{body}{FOOT}</form></body></html>') == TOLD
+
+
+def test_a_page_of_menus_is_empty_and_deep_pages_are_linear():
+    assert htmltext.extract_text(NAV + FOOT) == ""
+    began = time.perf_counter()
+    assert htmltext.extract_text("<div>" * 50_000 + STORY + "</div>" * 50_000) == TOLD
+    assert htmltext.extract_text("<b>" * 30_000 + "<h2>x</h2></ul>" * 30_000).startswith("x x")
+    assert htmltext.extract_text("<form>" * 20_000 + STORY) == TOLD
+    assert time.perf_counter() - began < 10
+
+
+def slow_density(n, share):
+    """A node's density by recursion over its text, tags and links."""
+    text, tags, link, links = _slow_counts(n)
+    if not text:
+        return 0.0
+    base = math.log(text / max(1, text - link) * link + share * text + math.e)
+    return text / max(1, tags) * math.log(max(text / max(1, link) * max(1, tags) / max(1, links), 1.0)) / max(math.log(base), 1e-9) if base > 1 + 1e-9 else text / max(1, tags)
+
+
+def _slow_counts(n, linked=False):
+    text = tags = link = links = 0
+    for k in n.kids:
+        if isinstance(k, str):
+            text += len("".join(k.split()))
+        else:
+            t, g, c, m = _slow_counts(k)
+            text, tags, link, links = text + t, tags + g + 1, link + c, links + m + (k.tag == "a")
+    return text, tags, text if n.tag == "a" else link, links
+
+
+def test_densities_and_cores_equal_a_slow_version():
+    rng = random.Random(12)
+
+    def grow(depth):
+        inner = "".join(grow(depth + 1) if depth < 5 and rng.random() < 0.7 else "words " * rng.randint(0, 9) for _ in range(rng.randint(0, 4)))
+        tag = rng.choice(["div", "p", "a", "span", "section", "ul", "li", "b"])
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(150):
+        root = htmltext.parse(f"<body>{grow(0)}{grow(0)}{grow(0)}</body>")
+        htmltext.measure(root)
+        order = list(htmltext._below(root))
+        htmltext._tops(order)
+        text, _, link, _ = _slow_counts(root)
+        for n in order:
+            want = slow_density(n, link / max(1, text))
+            assert abs(n.density - want) < 1e-9 * max(1.0, want)
+            below = [x for x in htmltext._below(n) if x.tag in htmltext.CONTAINERS and x.chars]
+            assert n.top is (max(below, key=lambda x: x.total) if below else None) or (n.top.total == max(x.total for x in below))
+
+
 def test_page_columns_and_length(spark):
     long = "<article>" + "".join(f"<p>word{i} &amp; more</p>" for i in range(20000)) + "</article>"
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
