@@ -138,11 +138,20 @@ def word_hashes(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n words, runs over text boundaries included."""
+    """Hashes of all runs of n words, runs over text boundaries included.
+
+    Runs of 1, 2, 4, ... words are hashed from halves; n is put together from those.
+    """
     m = max(0, len(words) - n + 1)
-    acc = np.full(m, n, np.uint64)
-    for k in range(n):
-        acc = mix(acc * np.uint64(0x9FB21C651E98DF25) + words[k : k + m])
+    odd = np.uint64(0x9FB21C651E98DF25)
+    acc, at, size, run = np.full(m, n, np.uint64), 0, 1, words
+    while size <= n and m:
+        if n & size:
+            acc = mix(acc * odd + run[at : at + m])
+            at += size
+        if 2 * size <= n:
+            run = mix(run[:-size] * odd + run[size:])
+        size *= 2
     return acc
 
 

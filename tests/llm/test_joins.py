@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -177,6 +178,62 @@ def test_a_passage_of_repeated_lines(spark):
     assert set(got) == {(2, 1)} and (got[2, 1].start, got[2, 1].end, got[2, 1].anchor_start, got[2, 1].n_same) == (0, 80, 30, 80)
 
 
+@pytest.mark.parametrize("smaller", [True, False])
+def test_third_documents_that_hold_pieces_hide_no_passage(spark, smaller):
+    rng = random.Random(19)
+    fresh = lambda n: [f"u{rng.getrandbits(40)}" for _ in range(n)]
+    passage, pieces = fresh(120), fresh(60)
+    third = [(k + (0 if smaller else 120), " ".join(fresh(20) + passage[11 * k : 11 * k + 22])) for k in range(10)]
+    third += [(10 + (0 if smaller else 120), " ".join(pieces[:40])), (11 + (0 if smaller else 120), " ".join(pieces[20:]))]
+    docs = [(100, " ".join(fresh(30) + passage)), (200, " ".join(passage + fresh(9))), (301, " ".join(fresh(8) + pieces)), (305, " ".join(pieces + fresh(8)))]
+    got = passages(spark, docs + third)
+    assert {(200, 100), (305, 301)} <= set(got)
+    assert (got[200, 100].start, got[200, 100].end) == (0, 120) and (got[305, 301].start, got[305, 301].end) == (0, 60)
+
+
+def test_a_seed_that_repeats_in_the_anchor(spark):
+    rng = random.Random(29)
+    fresh = lambda n: [f"u{rng.getrandbits(40)}" for _ in range(n)]
+    q, r = fresh(40), fresh(20)
+    got = passages(spark, [(1, " ".join(q + fresh(300) + q + r)), (2, " ".join(fresh(5) + q + r))])
+    assert (got[2, 1].start, got[2, 1].end, got[2, 1].anchor_start) == (5, 65, 340)
+
+
+def test_alignments_are_optimal_and_long_ones_bounded():
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        a, b = (rng.integers(0, 4, rng.integers(0, 25)).astype(np.uint64) for _ in range(2))
+        score = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                score[i, j] = max(0, score[i - 1, j - 1] + (1 if x == y else -1), score[i - 1, j] - 1, score[i, j - 1] - 1)
+        c = chains.align(a, b)
+        assert 2 * int(c.same[-1]) - len(c.equal) == score.max()
+        for t, same in enumerate(c.equal):
+            if c.a[t + 1] > c.a[t] and c.b[t + 1] > c.b[t]:
+                assert (a[c.a[t]] == b[c.b[t]]) == same
+            else:
+                assert not same
+    tracemalloc.start()
+    a = np.tile(rng.integers(0, 2**60, 7).astype(np.uint64), 7200)
+    b = np.delete(a, [5, 700, 30_000])
+    b[400::997] = 3
+    c = chains.align_chain(a, b)
+    assert int(c.same[-1]) > 50_300 and tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
+def test_the_window_minima_of_many_texts():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        lens = rng.integers(0, 40, 12)
+        offs = np.concatenate([[0], np.cumsum(lens)])
+        words = rng.integers(0, 6, offs[-1]).astype(np.uint64)
+        grams = gram_hashes(words, 4)
+        want = [x for a, b in zip(offs, offs[1:], strict=False) for x in (chains.minimizers(grams[a : max(a, b - 3)], 5) + a).tolist()]
+        assert chains.batch_minimizers(grams, offs, 4, 5).tolist() == want
+
+
 def test_an_exact_passage_before_a_filled_in_template(spark):
     rng = random.Random(17)
     fresh = lambda n: [f"u{rng.getrandbits(40)}" for _ in range(n)]
