@@ -59,7 +59,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = langid.remainder(F.col("doc_id")) == 2
     model = langid.train(docs.where(~held_out))
     out = langid.identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ block's edge, through however many blocks it takes.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 50256
 #: The public byte-level BPE pattern that this vocabulary was made with.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Blocks of a large file that a task reads in one go.
+RANGE_BLOCKS = 256
 DTYPES = {"uint16": np.dtype("<u2"), "uint32": np.dtype("<u4"), "int32": np.dtype("<i4"), "int64": np.dtype("<i8")}
 
 BLOCK_SCHEMA = "file string, block int, tokens binary, doc_ids array<long>"
@@ -49,56 +52,82 @@ def write_blocks(ranks, eod: int, dtype: str, block_tokens: int = BLOCK_TOKENS,
 
         encoding = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
         task, file, block, total = TaskContext.get().partitionId(), 0, 0, 0
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] = []  # pieces of the block that is open
         n_held, ids = 0, []
 
-        def cut(n: int, ended: list) -> pa.RecordBatch:
-            nonlocal held, n_held, block
-            every = np.concatenate(held) if held else np.zeros(0, DTYPES[dtype])
-            held, n_held = [every[n:]], len(every) - n
-            row = [[f"{task:06d}-{file:06d}"], [block], [every[:n].tobytes()], [ended]]
-            block += 1
+        def cut() -> pa.RecordBatch:
+            nonlocal held, n_held, ids, block
+            row = [[f"{task:06d}-{file:06d}"], [block], [np.concatenate(held).tobytes()], [ids]]
+            held, n_held, ids, block = [], 0, [], block + 1
             kinds = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["file", "block", "tokens", "doc_ids"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 tokens = np.array(encoding.encode_ordinary(text.as_py() or "") + [eod], DTYPES[dtype])
-                held.append(tokens)
-                n_held += len(tokens)
                 total += len(tokens)
-                while n_held > block_tokens:
-                    yield cut(block_tokens, ids)
-                    ids = []
+                at = 0
+                while at < len(tokens):
+                    if n_held == block_tokens:
+                        yield cut()
+                    held.append(tokens[at : at + block_tokens - n_held])
+                    n_held += len(held[-1])
+                    at += len(held[-1])
                 ids.append(doc_id.as_py())
                 if total >= file_tokens:
-                    yield cut(n_held, ids)
-                    held, n_held, ids, file, block, total = [], 0, [], file + 1, 0, 0
+                    yield cut()
+                    file, block, total = file + 1, 0, 0
         if n_held:
-            yield cut(n_held, ids)
+            yield cut()
 
     return run
 
 
-def blocks_of_files(spark: SparkSession, path: str, dtype: str = "uint32", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, tokens): raw token files, read by Spark's binary source, in blocks.
+def blocks_of_files(spark: SparkSession, path: str, dtype: str = "uint32", block_tokens: int = BLOCK_TOKENS, max_whole: int = (1 << 31) - 1024, range_blocks: int = RANGE_BLOCKS) -> DataFrame:
+    """(file, block, tokens): raw token files in blocks.
 
-    Files of up to 2 GB, the binary source's limit; a length that isn't a multiple of
+    Spark's binary source lists the files and reads those below its limit of 2 GB, one
+    at a time; the ranges of larger ones are dealt out and read one by one by
+    pyarrow's filesystems (local paths, s3, gs, hdfs). A length that isn't a multiple of
     the token size is an error. An empty file has no blocks.
     """
     width = DTYPES[dtype].itemsize
+    step = block_tokens * width
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(file: str, size: int) -> None:
+        if size % width:
+            raise ValueError(f"{file}: {size} bytes aren't whole tokens")
+
+    def out(file: str, k: int, raw: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int32()), pa.array([raw], pa.binary())], ["file", "block", "tokens"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 view = memoryview(content.as_buffer())
-                if len(view) % width:
-                    raise ValueError(f"{file}: {len(view)} bytes aren't whole tokens")
-                step = block_tokens * width
+                check(file, len(view))
                 for k, at in enumerate(range(0, len(view), step)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int32()), pa.array([bytes(view[at : at + step])], pa.binary())], ["file", "block", "tokens"])
+                    yield out(file, k, bytes(view[at : at + step]))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block int, tokens binary")
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for file, size, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                check(file, size)
+                system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+                with system.open_input_file(inner) as f:
+                    f.seek(first * step)
+                    for k in range(first, min(first + range_blocks, -(-size // step))):
+                        yield out(file, k, f.read(step))
+
+    schema = "file string, block int, tokens binary"
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= max_whole).select("path", "content").mapInArrow(whole, schema)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / F.lit(step)), F.lit(range_blocks).cast("long"))).alias("first")
+    large = files.where(F.col("length") > max_whole).select("path", "length", starts)
+    large = large.repartition(F.col("path"), F.col("first")).mapInArrow(ranges, schema)
+    return small.unionByName(large)
 
 
 def scan_separators(blocks: DataFrame, eod: int, dtype: str = "uint32", keep: tuple[str, ...] = ()) -> DataFrame:

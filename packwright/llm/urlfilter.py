@@ -1,17 +1,17 @@
 """URL filtering by a sort-merge range join, in DataFrame functions only.
 
-A host becomes its canonical key: labels reversed and each ended by 0x01, which no
-host label may hold, so that a host and all its subdomains are exactly the keys from
-``key`` up to ``key + U+10FFFF``. Rules and urls are merged in key order by one sorted
-window; its running state is a stack with one slot for each number of labels, since of
-the rules with equally many labels only the last that began can still be open. A slot
+A host becomes its canonical key: labels reversed and each ended by 0x01 (which is escaped
+within a label), so that a host and all its subdomains are exactly the keys from ``key``
+up to the key whose last 0x01 is a 0x02. Rules and urls are merged in key order by one
+sorted window; its running state is a stack with one slot for each number of labels, since
+of the rules with equally many labels only the last that began can still be open. A slot
 whose interval has ended is popped. The rules of the open slots whose path begins the
 url's path are left, and the longest of them decides.
 
-Urls are dealt to buckets by a hash of the url and its id, so one host with a third
-of all rows fills no bucket alone. Each bucket gets a copy of the rules (the sorted
-sweep needs no other data); their number times the buckets is held under
-``MAX_RULE_COPIES`` by using fewer buckets for longer lists.
+Urls are dealt to groups by a hash of the host's last two labels, and the urls of a group
+to as many shares as their number asks for, so one host with a third of all rows fills no
+task alone. A rule of two labels or more is copied to its own group's shares, one of a
+single label (a top-level domain) to all of them.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-END = "\U0010ffff"
-MAX_RULE_COPIES = 20_000_000
+#: Groups of hosts, and about how many urls a share of one holds.
+GROUPS = 1024
+SHARE_ROWS = 1 << 18
 RULE_SCHEMA = "host string, path string, verdict string"
 
 
@@ -47,7 +48,13 @@ def _after_scheme(url: Column) -> Column:
 
 def host_key(host: Column) -> Column:
     """Reversed labels, each followed by 0x01: prefixes of labels are prefixes of keys."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01"))
+    plain = F.replace(F.replace(host, F.lit("\x02"), F.lit("\x02\x03")), F.lit("\x01"), F.lit("\x02\x04"))
+    return F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), "\x01"), F.lit("\x01"))
+
+
+def _group(key: Column) -> Column:
+    """The group of a key: a hash of its first two labels."""
+    return F.pmod(F.xxhash64(F.substring_index(key, "\x01", 2)), F.lit(GROUPS)).cast("int")
 
 
 def filter_urls(
@@ -56,7 +63,7 @@ def filter_urls(
     url_col: str = "url",
     id_col: str = "page_id",
     default: str = "allow",
-    buckets: int | None = None,
+    share_rows: int = SHARE_ROWS,
 ) -> DataFrame:
     """Judge every row's url; returns the id, host, path, rule and verdict.
 
@@ -82,30 +89,22 @@ def filter_urls(
     )
     by_host = by_host.select(host_key(F.col("rule_host")).alias("key"), "paths")
     by_host = by_host.withColumn("level", F.size(F.split("key", "\x01")) - 1)
-    # One small job: how many rule hosts there are and how deep they nest.
-    n_hosts, depth = by_host.agg(F.count("*"), F.coalesce(F.max("level"), F.lit(0))).first()
-    if buckets is None:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(buckets, MAX_RULE_COPIES // max(1, n_hosts)))
+    # One small job: how deep the rules nest.
+    depth = by_host.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
 
     url = F.col(url_col)
-    urls = df.select(
-        F.pmod(F.xxhash64(url, F.col(id_col)), F.lit(buckets)).cast("int").alias("bucket"),
-        F.lit(1).alias("kind"),
-        F.col(id_col).alias("id"),
-        host_of(url).alias("host"),
-        path_of(url).alias("path"),
-    ).withColumn("key", host_key(F.col("host")))
-    opens = by_host.select(
-        F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"),
-        F.lit(0).alias("kind"),
-        "key",
-        "level",
-        "paths",
-    )
+    urls = df.select(F.lit(1).alias("kind"), F.col(id_col).alias("id"), F.xxhash64(url, F.col(id_col)).alias("dealt"), host_of(url).alias("host"), path_of(url).alias("path"))
+    urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("bucket", _group(F.col("key")))
+    # At most GROUPS rows, whatever the tables' sizes.
+    shares = urls.groupBy("bucket").agg((1 + F.floor(F.count("*") / F.lit(share_rows))).cast("int").alias("shares"))
+    urls = urls.join(F.broadcast(shares), "bucket").withColumn("share", F.pmod("dealt", F.col("shares")).cast("int")).drop("shares", "dealt")
+    copied = shares.select("bucket", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    narrow = by_host.where("level > 1").withColumn("bucket", _group(F.col("key"))).join(F.broadcast(copied), "bucket")
+    wide = by_host.where("level = 1").join(F.broadcast(copied.withColumn("one", F.lit(1))), F.col("level") == F.col("one"))
+    opens = narrow.unionByName(wide.drop("one")).select("bucket", "share", F.lit(0).alias("kind"), "key", "level", "paths")
     merged = urls.unionByName(opens, allowMissingColumns=True)
-    sweep = Window.partitionBy("bucket").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slot = F.struct(F.concat("key", F.lit(END)).alias("end"), F.col("key").alias("begin"), "paths")
+    sweep = Window.partitionBy("bucket", "share").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slot = F.struct(F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("\x02")).alias("end"), F.col("key").alias("begin"), "paths")
     merged = merged.select(
         "*", *[F.last(F.when(F.col("level") == n, slot), ignorenulls=True).over(sweep).alias(f"slot{n}") for n in range(1, depth + 1)]
     )

@@ -127,8 +127,8 @@ def brute_scan(tokens, eod):
     return out + ([(start, len(tokens) - start)] if start < len(tokens) else [])
 
 
-@pytest.mark.parametrize("dtype", ["uint16", "uint32", "int64"])
-def test_scan_is_the_plain_loop(spark, tmp_path, dtype):
+@pytest.mark.parametrize(("dtype", "max_whole"), [("uint16", 1 << 30), ("uint32", 1 << 30), ("int64", 1 << 30), ("uint32", 200)])
+def test_scan_is_the_plain_loop(spark, tmp_path, dtype, max_whole):
     rng = random.Random(7)
     want = {}
     for f in range(6):
@@ -137,7 +137,7 @@ def test_scan_is_the_plain_loop(spark, tmp_path, dtype):
             tokens[-1] = 9
         (tmp_path / f"{f}.bin").write_bytes(np.array(tokens, tokenfiles.DTYPES[dtype]).tobytes())
         want[f] = brute_scan(tokens, 9)
-    blocks = tokenfiles.blocks_of_files(spark, str(tmp_path), dtype, 16)
+    blocks = tokenfiles.blocks_of_files(spark, str(tmp_path), dtype, 16, max_whole=max_whole, range_blocks=3)
     got = {f: [] for f in want}
     for r in tokenfiles.scan_separators(blocks, 9, dtype).orderBy("file", "number").collect():
         own = got[int(r.file.rsplit("/", 1)[1][0])]

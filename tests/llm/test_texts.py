@@ -31,16 +31,16 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("buckets", [1, 3])
-def test_url_rules(spark, buckets):
+@pytest.mark.parametrize("share_rows", [1 << 18, 20])
+def test_url_rules(spark, share_rows):
     rng = random.Random(0)
     labels = ["a", "b", "example", "net", "com", "org"]
     host = lambda n: ".".join(rng.choice(labels) for _ in range(n))
-    urls = URLS + [f"http://{host(rng.randint(1, 5))}/{rng.choice(['', 'en/', 'de/', 'en/a', 'e'])}" for _ in range(300)]
+    urls = [*URLS, "http://net\x01evil/x", "http://evil\x01net/", "http://a\x02.net/", "http://\U0010ffff.net/", "http://x\x01.example.net/en/"] + [f"http://{host(rng.randint(1, 5))}/{rng.choice(['', 'en/', 'de/', 'en/a', 'e'])}" for _ in range(300)]
     rules = URL_RULES + [(host(rng.randint(1, 4)), rng.choice(["/", "/en/", "/e", ""]), rng.choice(["block", "allow"])) for _ in range(40)]
     df = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, rule int")
     for some in (URL_RULES, rules, []):
-        got = urlfilter.filter_urls(df, some, buckets=buckets).collect()
+        got = urlfilter.filter_urls(df, some, share_rows=share_rows).collect()
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: judge(u, some) for i, u in enumerate(urls)}
         assert len(got) == len(urls)
     assert urlfilter.filter_urls(df.limit(0), rules).count() == 0
