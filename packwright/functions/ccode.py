@@ -12,6 +12,7 @@ ambiguous declarations are settled by their first tokens.
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 from dataclasses import dataclass, field
 
 # File suffixes that are read as C++.
@@ -73,8 +74,8 @@ class Function:
     walk: Walk
 
 
-def lex(code: str) -> list[Token]:
-    out, row, at = [], 0, 0
+def lex(code: str) -> Tokens:
+    out, row, at = Tokens(), 0, 0
     for m in _LEX.finditer(code):
         row += code.count("\n", at, m.start())
         at = m.start()
@@ -83,23 +84,31 @@ def lex(code: str) -> list[Token]:
     return out
 
 
-def _match(tokens: list[Token], i: int) -> int:
+class Tokens(list[Token]):
+    """The tokens of a text, with the place of each bracket's partner once one is asked for."""
+
+    ends: dict[int, int] | None = None
+
+
+def _match(tokens: Tokens, i: int) -> int:
     """The index of the bracket that closes the one at i, or the last token."""
-    stack = []
-    for j in range(i, len(tokens)):
-        t = tokens[j]
-        if t.kind != "op":
-            continue
-        if t.text in _OPEN:
-            stack.append(_OPEN[t.text])
-        elif stack and t.text in ")]}":
-            while stack and stack[-1] != t.text and t.text == "}":
-                stack.pop()
-            if stack and stack[-1] == t.text:
-                stack.pop()
-            if not stack:
-                return j
-    return len(tokens) - 1
+    if tokens.ends is None:
+        tokens.ends, stack = {}, []
+        for j, t in enumerate(tokens):
+            if t.kind != "op":
+                continue
+            if t.text in _OPEN:
+                stack.append((_OPEN[t.text], j))
+            elif t.text in ")]}":
+                while t.text == "}" and stack and stack[-1][0] != "}":
+                    tokens.ends[stack.pop()[1]] = j  # a brace ends what is open inside it
+                if stack and stack[-1][0] == t.text:
+                    tokens.ends[stack.pop()[1]] = j
+    return tokens.ends.get(i, len(tokens) - 1)
+
+
+#: A reader that hands on the readers of what stands inside it and returns an index.
+Steps = Generator["Steps", int | None, int | None]
 
 
 class _Body:
@@ -167,18 +176,31 @@ class _Body:
         return end
 
     def block(self, a: int, b: int, conds: list[str]) -> None:
+        """Read the statements from a to b. Nested ones wait on a list, not on Python's stack."""
+        open_, value = [self._block(a, b, conds)], None
+        while open_:
+            try:
+                inner = open_[-1].send(value)
+            except StopIteration as done:
+                open_.pop()
+                value = done.value
+            else:
+                open_.append(inner)
+                value = None
+
+    def _block(self, a: int, b: int, conds: list[str]) -> Steps:
         i = a
         while i < b:
-            i = max(self.statement(i, b, conds), i + 1)
+            i = max((yield self._statement(i, b, conds)), i + 1)
 
-    def statement(self, i: int, end: int, conds: list[str]) -> int:
+    def _statement(self, i: int, end: int, conds: list[str]) -> Steps:
         """Read one statement; the index after it."""
         if i >= end:
             return end
         t = self.t[i]
         if self.op(i, "{"):
             close = min(_match(self.t, i), end)
-            self.block(i + 1, close, conds)
+            yield self._block(i + 1, close, conds)
             return close + 1
         if self.op(i, ";") or self.op(i, "}"):
             return i + 1
@@ -190,11 +212,11 @@ class _Body:
                         break
                     at += 1
                 if self.op(at, "("):
-                    return self._control(i, at, end, conds)
+                    return (yield self._control(i, at, end, conds))
             if t.text == "do":
-                return self._do(i, end, conds)
+                return (yield self._do(i, end, conds))
             if t.text == "else":  # without its if
-                return self.statement(i + 1, end, conds)
+                return (yield self._statement(i + 1, end, conds))
             if t.text in ("return", "goto"):
                 self.keep(i)
                 stop = self.semicolon(i, end)
@@ -209,11 +231,11 @@ class _Body:
                 self.expression(i + 1, at, conds)
                 return at + 1
             if t.text == "try":
-                return self.statement(i + 1, end, conds)
+                return (yield self._statement(i + 1, end, conds))
             if t.text == "catch" and self.op(i + 1, "("):
                 close = _match(self.t, i + 1)
                 self.expression(i + 2, close, conds)
-                return self.statement(close + 1, end, conds)
+                return (yield self._statement(close + 1, end, conds))
             if self.op(i + 1, ":") and t.text not in KEYWORDS:
                 self.keep(i)
                 return i + 2
@@ -225,7 +247,7 @@ class _Body:
             self.expression(i, stop, conds)
         return stop + 1
 
-    def _control(self, i: int, at: int, end: int, conds: list[str]) -> int:
+    def _control(self, i: int, at: int, end: int, conds: list[str]) -> Steps:
         word = self.t[i].text
         self.keep(i)
         close = min(_match(self.t, at), end)
@@ -243,12 +265,12 @@ class _Body:
             cond = self.condition(at, close + 1)
             self.expression(at + 1, close, conds)
         inner = [*conds, cond] if cond else conds
-        after = self.statement(close + 1, end, inner)
+        after = yield self._statement(close + 1, end, inner)
         if word == "if" and after < end and self.t[after].text == "else":
-            after = self.statement(after + 1, end, [*conds, f"!({cond})"] if cond else conds)
+            after = yield self._statement(after + 1, end, [*conds, f"!({cond})"] if cond else conds)
         return after
 
-    def _do(self, i: int, end: int, conds: list[str]) -> int:
+    def _do(self, i: int, end: int, conds: list[str]) -> Steps:
         self.keep(i)
         # The condition comes after the body: find it first, then read the body.
         stop = min(_match(self.t, i + 1), end) + 1 if self.op(i + 1, "{") else self.semicolon(i + 1, end) + 1
@@ -256,7 +278,7 @@ class _Body:
         if stop < end and self.t[stop].text == "while" and self.op(stop + 1, "("):
             close = _match(self.t, stop + 1)
             cond = self.condition(stop + 1, close + 1)
-        self.statement(i + 1, stop, [*conds, cond] if cond else conds)
+        yield self._statement(i + 1, stop, [*conds, cond] if cond else conds)
         if close > stop:
             self.expression(stop + 2, close, conds)
             return self.semicolon(close, end) + 1

@@ -53,10 +53,20 @@ def test_rows():
 
 def test_nothing():
     assert functions("") == [] and functions("int x;") == [] and parse_detached("garbage (((").calls == []
-    assert functions("int f( { {") == [] or True
+    assert functions("int f( { {") == []
 
 
 def test_deep_nesting_and_length():
     body = "int f() {" + "if (a) {" * 200 + "g();" + "}" * 200 + "}"
     assert len(functions(body)[0].walk.calls[0].conditions) == 200
     assert len(functions("int f() {" + "g();" * 5000 + "}")[0].walk.calls) == 5000
+
+
+def test_generated_code_nests_without_a_limit():
+    chain = "int f() { if (a0) { g(); } " + " ".join(f"else if (a{i}) {{ g(); }}" for i in range(1, 3000)) + " }"
+    calls = functions(chain)[0].walk.calls
+    assert len(calls) == 3000 and len(calls[-1].conditions) == 3000
+    deep = "int f() {" + "{" * 10_000 + "g();" + "}" * 10_000 + "}"
+    assert [c.name for c in functions(deep)[0].walk.calls] == ["g"]
+    ladder = "int f() { " + " ".join(f"if (a{i}) {{ }} else" for i in range(10_000)) + " g(); }"
+    assert len(functions(ladder)[0].walk.calls[0].conditions) == 10_000
