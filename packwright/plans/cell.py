@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
+import json
 import os
+import shutil
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions import text as X
+from packwright.functions.tokens import exact_counter
 from packwright.operators import metrics, pool, represent, selectors
 from packwright.operators import samples as S
 from packwright.sources import pairs, sinks
@@ -53,6 +57,13 @@ class CellConfig:
     show_pack: bool = False
     out_dir: str | None = None
     workspace: str = "workspace"
+    #: Samples that are asked about between two writes of the ledger.
+    ask_batch: int = 256
+    #: A vocabulary file to count tokens with; without one words are counted.
+    tokenizer: str | None = None
+
+    def counter(self) -> Callable[[Column], Column]:
+        return exact_counter(self.tokenizer) if self.tokenizer else X.count_tokens
 
     def cell_id(self) -> str:
         return f"{self.selector}_{self.representation}_b{self.budget}_{self.backend}"
@@ -203,24 +214,61 @@ def ledger(packs: DataFrame, cfg: CellConfig, run_id: str, set_id: str, cold_ms:
 def checkout_all(spark: SparkSession, samples: DataFrame, cfg: CellConfig, scan=None) -> tuple[DataFrame, DataFrame]:
     """(index, worktrees) of the samples' checkouts; git runs on the driver.
 
-    Keyed by worktree, so every sample sees its own commit's symbols.
+    Keyed by worktree, so every sample sees its own commit's symbols. Each worktree's
+    index is made and kept before the next one's, which is what its time is measured by.
     """
     scan = scan or set_backend(cfg.backend)
     needed = samples.select("worktree", "project", "project_url", "commit").distinct().orderBy("worktree").collect()
-    files, done = None, []
+    empty = spark.createDataFrame([], "worktree string, file string, content binary")
+    index, done = pool.with_tokens(pool.symbol_index(scan(empty)), cfg.counter()), []
     for w in needed:
         where = pairs.checkout(w["project_url"], w["project"], w["commit"], cfg.workspace)
         if where is not None:
             began = time.time()
-            part = pairs.scan_sources(spark, f"file://{where}", w["worktree"], where)
-            files = part if files is None else files.unionByName(part)
+            own = pool.symbol_index(scan(pairs.scan_sources(spark, f"file://{where}", w["worktree"], where)))
+            own = pool.with_tokens(own, cfg.counter()).persist()
+            own.count()
             done.append((w["worktree"], time.time() - began))
-    if files is None:
-        files = spark.createDataFrame([], "worktree string, file string, content binary")
-    index = pool.with_tokens(pool.symbol_index(scan(files))).cache()
+            index = index.unionByName(own)
     return index, spark.createDataFrame(done, "worktree string, index_time_s double")
 
 
+def ask_in_batches(packs: DataFrame, cfg: CellConfig, ask: Callable[[str], str] | None, folder: str, to_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The ledger rows of all packs, of which each was asked about once.
+
+    Packs are taken ``cfg.ask_batch`` at a time in their order; a batch's rows are on
+    disk before the next one is asked, in a folder that executors see too. Where the folder holds rows of a run that broke
+    off, only the packs without one are asked about.
+    """
+    spark = packs.sparkSession
+    every = [r[0] for r in packs.select("sample_id").orderBy("pos").collect()]
+    told = set()
+    if os.path.isdir(folder):
+        told = {r[0] for r in spark.read.schema(pairs.LEDGER_SCHEMA).json(folder).select("sample_id").collect()}
+    left = [x for x in every if x not in told]
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    for at in range(0, len(left), cfg.ask_batch):
+        now = packs.where(F.col("sample_id").isin(left[at : at + cfg.ask_batch]))
+        # Dealt out before the call and not sorted after it: a sort would sample, and so ask twice.
+        rows = to_rows(predict(now.repartition(min(tasks, cfg.ask_batch), "sample_id"), ask))
+        rows.write.mode("append").json(folder, ignoreNullFields=False)
+        print(f"{min(at + cfg.ask_batch, len(left))} of {len(left)} samples: " + "".join(MARKS[r[0]] for r in _marks(spark, folder, left[at : at + cfg.ask_batch])), flush=True)
+    if not every:
+        return spark.createDataFrame([], pairs.LEDGER_SCHEMA)
+    order = spark.createDataFrame(list(enumerate(every)), "pos long, sample_id string")
+    return spark.read.schema(pairs.LEDGER_SCHEMA).json(folder).join(order, "sample_id").orderBy("pos")
+
+
+#: How a sample's outcome is shown while a cell runs.
+MARKS = {1: "+", 0: "-", -1: "?"}
+
+
+def _marks(spark: SparkSession, folder: str, ids: list[str]) -> list:
+    rows = spark.read.schema(pairs.LEDGER_SCHEMA).json(folder).where(F.col("sample_id").isin(ids))
+    right = F.when(F.col("prediction") < 0, -1).otherwise((F.col("prediction") == F.col("label")).cast("int"))
+    return rows.select(right.alias("mark")).collect()
+
+
 def run_cell(spark: SparkSession, cfg: CellConfig, ask: Callable[[str], str] | None = None, index: DataFrame | None = None, worktrees: DataFrame | None = None) -> tuple[str, dict] | None:
     """Run a cell end to end: (results path, metrics); None if it only freezes.
 
@@ -238,16 +286,19 @@ def run_cell(spark: SparkSession, cfg: CellConfig, ask: Callable[[str], str] | N
     if cfg.selector in selectors.NEEDS_POOL and index is None:
         index, worktrees = checkout_all(spark, samples, cfg, scan)
     warm = time.time()
-    packs = build_packs(samples, index, cfg, worktrees).cache()
+    packs = build_packs(samples, index, cfg, worktrees, cfg.counter()).cache()
     n = max(1, packs.count())
     now = time.time()
     if cfg.show_pack:
         for r in packs.select("sample_id", "pack_text").orderBy("pos").toLocalIterator():
             print(f"\n----- {r[0]} -----\n{r[1]}")
-    asked = predict(packs, None if cfg.no_llm else ask or chat_predictor(cfg.model, cfg.base_url, cfg.api_key, cfg.seed))
-    rows = ledger(asked.orderBy("pos"), cfg, run_id, set_id, (now - began) * 1000 / n, (now - warm) * 1000 / n)
+    ask = None if cfg.no_llm else ask or chat_predictor(cfg.model, cfg.base_url, cfg.api_key, cfg.seed)
+    to_rows = lambda rows: ledger(rows, cfg, run_id, set_id, (now - began) * 1000 / n, (now - warm) * 1000 / n, cfg.counter())
+    same = hashlib.sha256(json.dumps([set_id, cfg.model, cfg.base_url, cfg.seed, cfg.no_llm, cfg.tokenizer]).encode()).hexdigest()[:12]
+    folder = str((out_dir / f"asked_{cfg.cell_id()}_{same}").resolve())
     path = str(out_dir / f"results_{run_id}.jsonl")
-    sinks.write_results_file(rows, path)
+    sinks.write_results_file(ask_in_batches(packs, cfg, ask, folder, to_rows), path)
+    shutil.rmtree(folder, ignore_errors=True)
     packs.unpersist()
     found = metrics.cell_metrics(pairs.scan_results(spark, path)).first().asDict()
     sinks.write_metrics(found, str(out_dir / f"metrics_{run_id}.json"))
@@ -273,6 +324,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--freeze-only", action="store_true")
     p.add_argument("--out-dir")
     p.add_argument("--show-pack", action="store_true")
+    p.add_argument("--tokenizer")
     return p
 
 

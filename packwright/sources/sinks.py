@@ -55,6 +55,7 @@ def frozen_set_id(sample_ids: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(sample_ids)).encode()).hexdigest()[:12]
 
 
+# The keys of a frozen set's file.
 def save_frozen(path: str, sample_ids: list[str], seed: int, dataset: str) -> dict:
     payload = {
         "format": FROZEN_FORMAT,
@@ -74,7 +75,7 @@ def load_frozen(path: str, dataset: str | None = None) -> dict:
     """A frozen set; ValueError if the pair file isn't the one it was drawn from."""
     payload = json.loads(Path(path).read_text(encoding="utf-8"))
     if dataset is not None and (now := local_hash(dataset)) != payload.get("dataset_hash"):
-        raise ValueError(f"the pair file is not the one this set was frozen from: {payload.get('dataset_hash')} then, {now} now; freeze again or restore the file")
+        raise ValueError(f"{path} belongs to a pair file with hash {payload.get('dataset_hash')}, but {dataset} has {now}")
     return payload
 
 

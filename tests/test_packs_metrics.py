@@ -134,3 +134,54 @@ def test_ledger_append_and_stream(spark, tmp_path):
     query = stream.watch(spark, cfg.out_dir, "progress_table", str(tmp_path / "cp"), once=True)
     query.awaitTermination()
     assert spark.table("progress_table").first().n_unreadable == 8
+
+
+def test_every_sample_is_asked_once_and_a_broken_cell_goes_on(spark, tmp_path):
+    rows = [line(i, project="w", vulnerable_commit_id="c", vulnerability_fixing_commit_id="c", vulnerable_function_body=f"int t{i}(void) {{ return {i}; }}") for i in range(20)]
+    cfg = cell.CellConfig(data=write(tmp_path / "pairs.jsonl", rows), out_dir=str(tmp_path / "out"), ask_batch=7)
+    asked, broken = str(tmp_path / "asked"), str(tmp_path / "broken")
+    open(broken, "w").close()
+
+    def ask(pack):
+        import os
+
+        with open(asked, "a") as out:
+            out.write("x")
+        if os.path.exists(broken) and os.path.getsize(asked) > 20:
+            raise RuntimeError("the endpoint is gone")
+        return "SAFE"
+
+    with pytest.raises(Exception, match="endpoint"):
+        cell.run_cell(spark, cfg, ask=ask)
+    assert not list((tmp_path / "out").glob("results_*"))
+    kept = sum(1 for f in (tmp_path / "out").glob("asked_*/*.json") for _ in open(f))
+    assert kept == 14
+    (tmp_path / "broken").unlink()
+    before = len(open(asked).read())
+    path, found = cell.run_cell(spark, cfg, ask=ask)
+    assert len(open(asked).read()) - before == 40 - kept and found["n_samples"] == 40
+    assert [json.loads(x)["sample_id"] for x in open(path)] == [f"{i}-{h}" for i in range(20) for h in ("vuln", "benign")]
+    assert not list((tmp_path / "out").glob("asked_*"))
+
+
+def test_checkout_of_a_commit(spark, tmp_path):
+    import subprocess
+
+    origin = tmp_path / "origin"
+    git = lambda *args: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *args], cwd=origin, check=True, capture_output=True, text=True).stdout.strip()
+    origin.mkdir()
+    git("init", "-q")
+    commits = []
+    for body in ("int f(void) { return g(); }", "int h(void) { return 2; }"):
+        (origin / "a.c").write_text(body)
+        git("add", "."), git("commit", "-qm", "x")
+        commits.append(git("rev-parse", "HEAD"))
+    for commit, name in zip(commits, "fh", strict=True):
+        where = pairs.checkout(str(origin), "p", commit, str(tmp_path / "ws"))
+        assert where == str(tmp_path / "ws" / "trees" / f"p-{commit[:12]}") == pairs.checkout("nowhere", "p", commit, str(tmp_path / "ws"))
+        found = pairs.scan_functions(pairs.scan_sources(spark, f"file://{where}", "w", where)).collect()
+        assert [(r.name, r.file) for r in found] == [(name, "a.c")]
+    assert pairs.checkout(str(origin), "p", "0" * 40, str(tmp_path / "ws")) is None
+    samples = spark.createDataFrame([("p-" + commits[0][:12], "p", str(origin), commits[0]), ("p-0", "p", str(origin), "0" * 40)], "worktree string, project string, project_url string, commit string")
+    index, times = cell.checkout_all(spark, samples, cell.CellConfig(workspace=str(tmp_path / "ws")))
+    assert [r.name for r in index.collect()] == ["f"] and times.count() == 1 and times.first().index_time_s > 0.01
