@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packwright.llm.shared import materialize
+from packwright.llm.shared import SALTS, materialize
 
 #: Leading hex digits of a row's hash that make its bucket: 4,096 buckets a leaf.
 BUCKET_DIGITS = 3
@@ -84,6 +84,17 @@ def _same(names: list[str]) -> Column:
     return on
 
 
+def _with_leaf(rows: DataFrame, leaf: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """rows (a) joined with their leaf's columns ``more``; a hot leaf's rows are split.
+
+    Null names are equal. The few leaf rows are copied to SALTS groups of rows.
+    """
+    salt = F.pmod(F.xxhash64("_id", "_key"), F.lit(SALTS)).cast("int")
+    copies = leaf.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = _same([*names, "_salt"])
+    return rows.withColumn("_salt", salt).alias("a").join(copies.alias("b"), on).select("a.*", *[f"b.{c}" for c in more]).drop("_salt")
+
+
 LEVELS = ["_domain", "_language", "_source"]
 
 
@@ -105,13 +116,13 @@ def leaf_cuts(rows: DataFrame, fraction: float, weights: dict[str, dict[str, flo
     budgets = budgets.withColumn("whole", whole).select(*LEVELS, "whole", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("rest"))
     # One row a source; written, as it is joined three times.
     budgets = materialize(budgets, "budgets")
-    got = rows.alias("a").join(budgets.alias("b"), _same(LEVELS)).select("a.*", "b.whole", "b.rest").withColumn("_order", _order(seed))
+    got = _with_leaf(rows, budgets, LEVELS, "whole", "rest").withColumn("_order", _order(seed))
     got = got.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
     sums = got.groupBy(*LEVELS, "_bucket").agg(F.sum("_tokens").alias("_sum"), F.max("rest").alias("rest"))
     before = Window.partitionBy(*LEVELS).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     last = sums.where("_before <= rest and _before + _sum > rest").select(*LEVELS, "_bucket", "_before")
-    inside = got.alias("a").join(last.alias("b"), _same([*LEVELS, "_bucket"])).select("a.*", "b._before")
+    inside = _with_leaf(got, last, [*LEVELS, "_bucket"], "_before")
     peers = Window.partitionBy(*LEVELS).orderBy("_order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("_upto", F.col("_before") + F.sum("_tokens").over(peers))
     # A bucket that has no fitting row is cut before its first: a prefix sorts before all it begins.
@@ -156,7 +167,7 @@ def mix(
     # Narrow rows, written once: the texts are read by one pass for them and one at the end.
     narrow = materialize(rows.select("_id", "_key", *LEVELS, "_tokens"), "tokens")
     cuts = leaf_cuts(narrow, fraction, weights or {}, max_epochs, seed)
-    got = rows.alias("a").join(cuts.alias("b"), _same(LEVELS)).select("a.*", "b.whole", "b.cut")
+    got = _with_leaf(rows, cuts, LEVELS, "whole", "cut")
     copies = F.col("whole") + F.when(_order(seed) <= F.col("cut"), 1).otherwise(0)
     added = dict(zip(("domain", "language", "source"), map(F.col, LEVELS), strict=True)) | {"n_tokens": F.col("_tokens"), "copies": copies}
     kept = [F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns) if c not in added]
