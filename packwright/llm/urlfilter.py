@@ -9,7 +9,7 @@ whose interval has ended is popped. The rules of the open slots whose path begin
 url's path are left, and the longest of them decides.
 
 Urls are dealt to groups by a hash of the host's last two labels, and the urls of a group
-to as many shares as their number asks for, so one host with a third of all rows fills no
+to as many shares as their part of all urls asks for, so one host with a third of all rows fills no
 task alone. A rule of two labels or more is copied to its own group's shares, one of a
 single label (a top-level domain) to all of them.
 """
@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Groups of hosts, and about how many urls a share of one holds.
+#: Groups of hosts, and shares of urls for each shuffle partition beyond one a group.
 GROUPS = 1024
-SHARE_ROWS = 1 << 18
+SHARES = 4
 RULE_SCHEMA = "host string, path string, verdict string"
 
 
@@ -63,7 +63,7 @@ def filter_urls(
     url_col: str = "url",
     id_col: str = "page_id",
     default: str = "allow",
-    share_rows: int = SHARE_ROWS,
+    share_rows: int | None = None,
 ) -> DataFrame:
     """Judge every row's url; returns the id, host, path, rule and verdict.
 
@@ -95,8 +95,11 @@ def filter_urls(
     url = F.col(url_col)
     urls = df.select(F.lit(1).alias("kind"), F.col(id_col).alias("id"), F.xxhash64(url, F.col(id_col)).alias("dealt"), host_of(url).alias("host"), path_of(url).alias("path"))
     urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("bucket", _group(F.col("key")))
-    # At most GROUPS rows, whatever the tables' sizes.
-    shares = urls.groupBy("bucket").agg((1 + F.floor(F.count("*") / F.lit(share_rows))).cast("int").alias("shares"))
+    # At most GROUPS rows, whatever the tables' sizes, and GROUPS + SHARES * partitions shares.
+    shares = urls.groupBy("bucket").agg(F.count("*").alias("n"))
+    most = F.lit(SHARES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = F.lit(share_rows) if share_rows else F.greatest(F.ceil(F.sum("n").over(Window.partitionBy(F.lit(0))) / most), F.lit(1))
+    shares = shares.select("bucket", (1 + F.floor(F.col("n") / size)).cast("int").alias("shares"))
     urls = urls.join(F.broadcast(shares), "bucket").withColumn("share", F.pmod("dealt", F.col("shares")).cast("int")).drop("shares", "dealt")
     copied = shares.select("bucket", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     narrow = by_host.where("level > 1").withColumn("bucket", _group(F.col("key"))).join(F.broadcast(copied), "bucket")
