@@ -197,9 +197,8 @@ def limit_samples(spark, d):
 
 
 def dataset_hash(spark, d):
-    """The content hash of a dataset's lines: documents in order of their id."""
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.substring(F.sha2(F.encode("text", "UTF-8"), 256), 1, 16).alias("hash"))
+    """The content hash of each document's bytes."""
+    return table(spark, d, "documents").select("doc_id", pairs.content_hash(F.encode("text", "UTF-8")).alias("hash"))
 
 
 def pool_exclude_target(spark, d):
@@ -266,13 +265,11 @@ def greedy_fill(spark, d):
 
 
 def callees(spark, d):
-    t, e = graph_targets(spark, d), call_edges(spark, d)
-    return t.join(e, (t.target_name == e.caller) & (t.worktree == e.worktree)).select("sample_id", "callee")
+    return selectors.callees_of(graph_targets(spark, d), call_edges(spark, d))
 
 
 def callers(spark, d):
-    t, e = graph_targets(spark, d), call_edges(spark, d)
-    return t.join(e, (t.target_name == e.callee) & (t.worktree == e.worktree)).select("sample_id", "caller")
+    return selectors.callers_of(graph_targets(spark, d), call_edges(spark, d))
 
 
 def callgraph_2hop(spark, d):
@@ -349,9 +346,11 @@ def cost_medians(spark, d):
 
 def latest_cell(spark, d):
     """The rows of each cell's last file, with orders as files and customers as cells."""
-    o = table(spark, d, "orders")
-    last = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
-    return o.join(last, ["o_custkey", "o_orderkey"]).select(F.col("o_custkey").alias("cell"), F.col("o_orderkey").alias("path"), "o_orderstatus")
+    rows = table(spark, d, "orders").select(
+        F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("_path"), F.col("o_orderkey").alias("_at"), F.col("o_custkey").cast("string").alias("selector"), F.lit("R0").alias("representation"),
+        F.lit(None).cast("int").alias("budget"), F.lit(None).cast("string").alias("backend"), "o_orderstatus",
+    )
+    return pairs.latest_cells(rows).select("cell", F.col("_at").alias("path"), "o_orderstatus")
 
 
 def miss_counts(spark, d):
@@ -360,7 +359,7 @@ def miss_counts(spark, d):
 
 
 def cell_grid(spark, d):
-    """Every selector over the shared pool at one budget: what each keeps."""
+    """Two selectors over the shared pool at one budget: what each keeps."""
     fills = [same_file_fill(spark, d).withColumn("selector", F.lit("C1")), bm25_fill(spark, d).withColumn("selector", F.lit("S1"))]
     both = fills[0].unionByName(fills[1])
     return both.groupBy("selector").agg(F.countDistinct("sample_id").alias("n_samples"), F.count("*").alias("n_selected"), F.sum("tokens").alias("n_tokens"), F.max("used").alias("most_used"))

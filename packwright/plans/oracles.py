@@ -202,7 +202,7 @@ SQL: dict[str, str] = {
                round(avg(n_candidates_selected), 6) AS mean_candidates_selected, round(avg(CASE WHEN n_backend_failures > 0 THEN 1.0 ELSE 0.0 END), 6) AS n_backend_failures_rate,
                median(index_time_s) AS median_index_time_s, median(build_time_cold_ms) AS median_build_cold_ms, median(build_time_warm_ms) AS median_build_warm_ms
         FROM ledger GROUP BY cell""",
-    "latest_cell": "SELECT o_custkey AS cell, o_orderkey AS path, o_orderstatus FROM orders QUALIFY o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey)",
+    "latest_cell": "SELECT o_custkey || '_R0_b0_ts' AS cell, o_orderkey AS path, o_orderstatus FROM orders QUALIFY o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey)",
     "miss_counts": "SELECT coalesce(CASE WHEN l_partkey % 7 > 0 THEN 'p' || (l_partkey % 100) END, '<unnamed>') AS name, count(*) AS misses FROM lineitem WHERE l_linenumber > 2 GROUP BY 1",
     "cell_grid": f"""
         WITH {_BM25_RANKED}, {_TARGETS}, {_NEAR}, a AS (WITH {_fill('near')} SELECT *, 'C1' AS selector FROM fill), b AS (WITH {_fill('ranked')} SELECT *, 'S1' AS selector FROM fill)
