@@ -4,7 +4,9 @@ Every mask looks at some positions of a word window and ignores the others, so a
 substituted word in an ignored position leaves the hash as it was. The hashes of all
 benchmark windows form a table; the training side computes the same hashes at every
 position of every text and joins them with it. A hit proposes (item, diagonal); the
-whole diagonal is then compared word by word, and the best window on it decides.
+whole diagonal is then compared word by word, and the best window on it decides. Items
+that agree with a text in the same words are looked at together and reported together,
+so a template that many items share gives one row a document, not one a pair.
 
 The masks lose nothing at the default identity. Of n words with at most n // 5 replaced,
 some run of equal words has 4 or more, unless n is 15 and all runs have 3: there, as in
@@ -37,9 +39,14 @@ MAX_BLOCK_CHARS = 4 << 20
 #: Words compared on either side of a hit at first, and hits that are compared at once.
 REACH = 2 * MIN_WINDOW
 HITS_AT_ONCE = 1 << 16
+#: Hits of one diagonal within so many words are judged by the first of them.
+NEAR = 8
+#: Word comparisons held at once, and pairs held before repeated ones are dropped.
+CELLS_AT_ONCE = 1 << 22
+PAIRS_AT_ONCE = 1 << 20
 _BITS = 22
 
-RESULT = "doc_id long, item_id long, doc_start int, item_start int, n_words int, n_same int, item_words int"
+RESULT = "doc_id long, item_id long, doc_start int, item_start int, n_words int, n_same int, item_words int, n_items int"
 
 
 def mask_offsets(mask: str) -> list[int]:
@@ -113,12 +120,13 @@ class SeedTable:
         """Which hits have enough equal words near them on their diagonal.
 
         A window of twice min_window or more splits into two, one of them with the identity
-        too; so one shorter than that holds a hit, with all its words within its length.
+        too; so one shorter than that holds a hit, with all its words within its length. The
+        hit given may stand for others up to NEAR - 1 words on.
         """
         item, pos = self.item[place], self.pos[place].astype(np.int64)
         size = self.begins[item + 1] - self.begins[item]
         need = np.minimum(min_window, -(-size * 8 // 10))
-        reach = min(2 * min_window, max(REACH, int(2 * need.max(initial=0))))
+        reach = min(2 * min_window, max(REACH, int(2 * need.max(initial=0)))) + NEAR - 1
         equal = np.zeros(len(at), np.int64)
         for step in range(-reach, reach + 1):
             w, b = at + step, pos + step
@@ -141,6 +149,64 @@ def best_window(same: np.ndarray, identity: float) -> tuple[int, int]:
     return best
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """The rows of a table in order, each once."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))[: len(rows)]]
+
+
+def _pairs(table: SeedTable, words: np.ndarray, offs: np.ndarray, min_window: int, identity: float) -> np.ndarray:
+    """(text, diagonal, item) rows, each once, of the hits with enough equal words around."""
+    found, held = [np.zeros((0, 3), np.int64)], 0
+    for at, place in table.hits(words):
+        doc = np.searchsorted(offs, at, "right") - 1
+        item, diag = table.item[place].astype(np.int64), at - offs[doc] - table.pos[place]
+        order = np.lexsort((at, item, diag, doc))
+        key = np.stack([doc, diag, item, at // NEAR], axis=1)[order]
+        first = order[np.append(True, (key[1:] != key[:-1]).any(axis=1))[: len(order)]]
+        at, place, doc, diag, item = at[first], place[first], doc[first], diag[first], item[first]
+        keep = table.likely(words, offs[doc], offs[doc + 1], at, place, min_window, identity)
+        found.append(np.stack([doc, diag, item], axis=1)[keep])
+        held += int(keep.sum())
+        if held > PAIRS_AT_ONCE:
+            found, held = [_distinct(np.concatenate(found))], 0
+    return _distinct(np.concatenate(found))
+
+
+def _windows(table: SeedTable, words: np.ndarray, offs: np.ndarray, pairs: np.ndarray, min_window: int, identity: float) -> Iterator[tuple]:
+    """(text, start in it, words, equal words, start in the items, items) of the best windows.
+
+    The items of one diagonal are compared with the text as one table; those that agree
+    with it in the same places have one window, which is looked for once.
+    """
+    sizes = np.diff(table.begins)
+    needs = np.minimum(min_window, -(-sizes * 8 // 10))
+    for group in np.split(pairs, np.flatnonzero((pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)) + 1):
+        if not len(group):
+            continue
+        doc, diag = group[0, :2].tolist()
+        w = words[offs[doc] : offs[doc + 1]]
+        lo = max(0, -diag)
+        stops = np.minimum(sizes[group[:, 2]], len(w) - diag)
+        wide = int(stops.max()) - lo
+        if wide <= 0:
+            continue
+        at, own = lo + np.arange(wide), w[lo + diag : lo + diag + wide]
+        step = max(1, CELLS_AT_ONCE // wide)
+        for k in range(0, len(group), step):
+            items = group[k : k + step, 2]
+            places = np.minimum(table.begins[items][:, None] + at, len(table.flat) - 1)
+            same = (table.flat[places] == own) & (at < stops[k : k + step, None])
+            _, first, kind = np.unique(np.packbits(same, axis=1), axis=0, return_index=True, return_inverse=True)
+            kind = kind.reshape(-1)
+            by_kind = np.split(np.argsort(kind, kind="stable"), np.cumsum(np.bincount(kind))[:-1])
+            for row, members in zip(first.tolist(), by_kind, strict=True):
+                start, end = best_window(same[row], identity)
+                fit = items[members][needs[items[members]] <= end - start]
+                if end > start and len(fit):
+                    yield doc, lo + start + diag, end - start, int(same[row, start:end].sum()), lo + start, fit
+
+
 def _verified(table: SeedTable, min_window: int, identity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,25 +214,19 @@ def _verified(table: SeedTable, min_window: int, identity: float):
             ids = batch.column(0)
             for c in chunks(batch.column(1)):
                 words, offs = word_hashes(c)
-                found = set()
-                for at, place in table.hits(words):
-                    doc = np.searchsorted(offs, at, "right") - 1
-                    keep = table.likely(words, offs[doc], offs[doc + 1], at, place, min_window, identity)
-                    at, place, doc = at[keep], place[keep], doc[keep]
-                    item = table.item[place]
-                    diag = at - offs[doc] - table.pos[place]
-                    found.update(zip(doc.tolist(), item.tolist(), diag.tolist(), strict=True))
-                for doc, item, diag in sorted(found):
-                    w, b = words[offs[doc] : offs[doc + 1]], table.words[item]
-                    lo, hi = max(0, -diag), min(len(b), len(w) - diag)
-                    if hi <= lo:
-                        continue
-                    same = w[lo + diag : hi + diag] == b[lo:hi]
-                    start, end = best_window(same, identity)
-                    if end - start >= min(min_window, -(-len(b) * 8 // 10)) and end > start:
-                        rows.append((ids[c.first + doc].as_py(), table.ids[item], lo + start + diag, lo + start, end - start, int(same[start:end].sum()), len(b)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
+                pairs = _pairs(table, words, offs, min_window, identity)
+                passages: dict[tuple, tuple] = {}
+                for doc, start, n, n_same, item_start, items in _windows(table, words, offs, pairs, min_window, identity):
+                    best = min(items.tolist(), key=lambda i: (table.ids[i] is None, table.ids[i] or 0))
+                    order = (-n_same, table.ids[best] is None, table.ids[best] or 0, item_start)
+                    old, names = passages.get((doc, start, n), (None, set()))
+                    names.update(table.ids[i] for i in items.tolist())
+                    made = (order, best, item_start, n_same)
+                    passages[doc, start, n] = (made if old is None or order < old[0] else old), names
+                for (doc, start, n), ((_, best, item_start, n_same), names) in sorted(passages.items(), key=lambda x: x[0]):
+                    rows.append((ids[c.first + doc].as_py(), table.ids[best], start, item_start, n, n_same, len(table.words[best]), len(names)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
     return run
@@ -183,17 +243,20 @@ def contaminated(
     identity: float = IDENTITY,
     max_block_chars: int = MAX_BLOCK_CHARS,
 ) -> DataFrame:
-    """One row a passage of a benchmark item that a document repeats.
+    """One row a passage of a document that repeats benchmark items.
 
     A passage is the longest window on one diagonal with at least ``identity`` of its
     words equal, of min_window words or more (four fifths of a shorter item). Columns:
     doc_id, item_id, where it begins in the document and the item (in words), its
-    length, the number of equal words and the item's length.
+    length, the number of equal words, the item's length, and n_items, the number of
+    items with this window of the document. item_id is that with most equal words, of
+    those the smallest; the other items hold the same words there, but for substituted ones.
 
     No such passage is missed at an ``identity`` of 0.8 or more; at a lower one some may be.
 
     The benchmark's size is measured first; each ``max_block_chars`` of it are one
-    broadcast table and one pass over the documents, without a shuffle of either.
+    broadcast table and one pass over the documents, without a shuffle of either. Items
+    of different passes have rows of their own.
 
     Defined cases: null, empty and wordless texts and items take no part; null ids come
     back as null; repeated rows give repeated results; an empty table on either side

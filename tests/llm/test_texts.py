@@ -177,6 +177,35 @@ def test_no_contaminated_window_is_missed():
     assert len(want) > 200 and got == want
 
 
+def test_items_that_share_a_window_are_one_row():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    fresh = lambda n: [f"u{rng.getrandbits(40)}" for _ in range(n)]
+    head, tail = fresh(14), fresh(16)
+    items = [fresh(k % 3) + head + fresh(6) + (tail if k % 4 == 0 else fresh(9)) for k in range(60)] + [head, head, fresh(30)]
+    ids = [500 - k for k in range(62)] + [None]
+    near = list(head)
+    near[5] = "other"
+    docs = [fresh(9) + head + fresh(9), head, near + fresh(3), fresh(2) + items[8] + fresh(30) + tail, items[62] + head, fresh(40), head + fresh(1) + head]
+    want = defaultdict(set)
+    for d, doc in enumerate(docs):
+        for item, name in zip(items, ids, strict=True):
+            for diag in range(-len(item), len(doc)):
+                lo, hi = max(0, -diag), min(len(item), len(doc) - diag)
+                if hi > lo:
+                    same = np.array([doc[q + diag] == item[q] for q in range(lo, hi)])
+                    start, end = decontam.best_window(same, 0.8)
+                    if end > start and end - start >= min(13, -(-len(item) * 8 // 10)):
+                        want[d, lo + start + diag, end - start].add((-int(same[start:end].sum()), name is None, name or 0, name))
+    table = decontam.SeedTable(ids, [" ".join(x) for x in items])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array([" ".join(d) for d in docs])], ["doc_id", "text"])
+    got = [r for out in decontam._verified(table, 13, 0.8)(iter([batch])) for r in out.to_pylist()]
+    assert {(r["doc_id"], r["doc_start"], r["n_words"]): (r["item_id"], -r["n_same"], r["n_items"]) for r in got} == {k: (min(v)[3], min(v)[0], len({x[3] for x in v})) for k, v in want.items()}
+    assert len(got) == len(want) > 8 and max(r["n_items"] for r in got) > 60
+
+
 def test_best_window_is_the_longest():
     import numpy as np
 
