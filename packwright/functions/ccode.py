@@ -4,9 +4,12 @@ A lexer drops comments and preprocessor lines; a brace-level scan finds function
 definitions (also in namespaces, linkage blocks and classes); a statement reader walks
 a body for calls with their guarding conditions, identifiers and the rows worth keeping.
 
-Known limits against a full grammar: no macro expansion, no K&R parameter lists, calls
-through templates, members and qualified names aren't calls by a plain name, and
-ambiguous declarations are settled by their first tokens.
+In C, words that only C++ reserves are names like any other. Where the brackets of a text
+don't match with all branches of its conditional groups, only each group's first is read.
+
+Known limits against a full grammar: no macro expansion, calls through templates, members
+and qualified names aren't calls by a plain name, and ambiguous declarations are settled
+by their first tokens.
 """
 
 from __future__ import annotations
@@ -34,6 +37,15 @@ KEYWORDS = frozenset(
     " protected public register reinterpret_cast restrict return signed sizeof static static_assert static_cast struct switch template"
     " this throw true try typedef typeid typename union unsigned using virtual volatile while NULL".split()
 )
+#: Words that C++ reserves and C doesn't.
+CPP_ONLY = frozenset(
+    "catch class const_cast constexpr decltype delete dynamic_cast explicit export final friend mutable namespace new noexcept operator override"
+    " private protected public reinterpret_cast static_cast template this throw try typeid typename using virtual".split()
+)
+C_KEYWORDS = KEYWORDS - CPP_ONLY
+#: Those that never stand where a value does in C++, and what follows a value.
+_NO_VALUE = frozenset("class delete explicit export friend namespace new private protected public template try typename using virtual".split())
+_AFTER_VALUE = frozenset("= , ; ) ] . -> [ ++ -- + - == != < > += -= && || ?".split())
 PRIMITIVES = frozenset(
     "bool char char8_t char16_t char32_t char64_t charptr_t double float int int8_t int16_t int32_t int64_t intptr_t long max_align_t"
     " nullptr_t ptrdiff_t short size_t ssize_t uint8_t uint16_t uint32_t uint64_t uintptr_t void".split()
@@ -75,15 +87,58 @@ class Function:
 
 
 def lex(code: str) -> Tokens:
+    """The tokens of a text, of all branches of its conditional groups if those go together."""
+    every = _lex(code, True)
+    return every if "#" not in code or _balanced(every) else _lex(code, False)
+
+
+_DIRECTIVE = re.compile(r"\s*#\s*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b")
+
+
+def _lex(code: str, every_branch: bool) -> Tokens:
     out, row, at = Tokens(), 0, 0
+    later: list[bool] = []  # of each open group, whether its first branch is over
     for m in _LEX.finditer(code):
         row += code.count("\n", at, m.start())
         at = m.start()
-        if m.lastgroup not in ("skip", "pre"):
+        if m.lastgroup == "pre":
+            word = _DIRECTIVE.match(m.group())
+            if word and word[1] in ("if", "ifdef", "ifndef"):
+                later.append(False)
+            elif word and later and word[1] == "endif":
+                later.pop()
+            elif word and later:
+                later[-1] = True
+        elif m.lastgroup != "skip" and (every_branch or True not in later):
             out.append(Token(m.lastgroup, m.group(), m.start(), m.end(), row))
     return out
 
 
+def _balanced(tokens: list[Token]) -> bool:
+    stack = []
+    for t in tokens:
+        if t.kind == "op" and t.text in _OPEN:
+            stack.append(_OPEN[t.text])
+        elif t.kind == "op" and t.text in ")]}" and (not stack or stack.pop() != t.text):
+            return False
+    return not stack
+
+
+def _fits(tokens: list[Token], cpp: bool) -> bool:
+    """Whether nothing in the tokens speaks against the language."""
+    for before, t, after in zip([None, *tokens], tokens, [*tokens[1:], None]):
+        if not cpp and t.kind == "op" and t.text == "::":
+            return False
+        if t.kind == "id" and t.text in CPP_ONLY and after is not None:
+            if not cpp and (after.kind in ("id", "num") or after.text in ("{", ":")):
+                return False
+            if cpp and t.text in _NO_VALUE and after.kind == "op" and after.text in _AFTER_VALUE:
+                special = (t.text == "template" and after.text == "<") or (t.text == "delete" and (after.text == "[" or (before is not None and before.text == "=")))
+                if not special:
+                    return False
+    return _balanced(tokens)
+
+
 class Tokens(list[Token]):
     """The tokens of a text, with the place of each bracket's partner once one is asked for."""
 
@@ -111,9 +166,14 @@ def _match(tokens: Tokens, i: int) -> int:
 Steps = Generator["Steps", int | None, int | None]
 
 
+def _keywords(cpp: bool) -> frozenset[str]:
+    return KEYWORDS if cpp else C_KEYWORDS
+
+
 class _Body:
-    def __init__(self, code: str, tokens: list[Token], base: int):
+    def __init__(self, code: str, tokens: list[Token], base: int, cpp: bool):
         self.code, self.t, self.base, self.out = code, tokens, base, Walk()
+        self.cpp, self.keywords = cpp, _keywords(cpp)
 
     def text(self, a: int, b: int) -> str:
         return self.code[self.t[a].start : self.t[b - 1].end] if b > a else ""
@@ -140,11 +200,11 @@ class _Body:
                     self.keep(before)
             if t.kind != "id":
                 continue
-            if t.text not in KEYWORDS and t.text not in PRIMITIVES:
+            if t.text not in self.keywords and t.text not in PRIMITIVES:
                 self.out.identifiers.add(t.text)
                 if self.op(i + 1, "(") and i + 1 < b:
                     member = i > a and self.t[i - 1].kind == "op" and self.t[i - 1].text in ("->", ".", "::")
-                    created = i > a and self.t[i - 1].text == "new"
+                    created = self.cpp and i > a and self.t[i - 1].text == "new"
                     if not created:
                         self.keep(i)
                     if not member and not created:
@@ -230,13 +290,13 @@ class _Body:
                     at += 1
                 self.expression(i + 1, at, conds)
                 return at + 1
-            if t.text == "try":
+            if self.cpp and t.text == "try":
                 return (yield self._statement(i + 1, end, conds))
-            if t.text == "catch" and self.op(i + 1, "("):
+            if self.cpp and t.text == "catch" and self.op(i + 1, "("):
                 close = _match(self.t, i + 1)
                 self.expression(i + 2, close, conds)
                 return (yield self._statement(close + 1, end, conds))
-            if self.op(i + 1, ":") and t.text not in KEYWORDS:
+            if self.op(i + 1, ":") and t.text not in self.keywords:
                 self.keep(i)
                 return i + 2
         stop = self.semicolon(i, end)
@@ -289,9 +349,9 @@ class _Body:
         if a >= b or self.t[a].kind != "id":
             return False
         first = self.t[a].text
-        if first in _TYPE_WORDS:
+        if first in _TYPE_WORDS and (self.cpp or first not in CPP_ONLY):
             return True
-        if first in KEYWORDS:
+        if first in self.keywords:
             return False
         i = a + 1
         while i + 1 < b and self.op(i, "::") and self.t[i + 1].kind == "id":
@@ -307,7 +367,7 @@ class _Body:
         stars = i
         while i < b and (self.t[i].text in ("*", "&", "&&", "const")):
             i += 1
-        if i >= b or self.t[i].kind != "id" or self.t[i].text in KEYWORDS:
+        if i >= b or self.t[i].kind != "id" or self.t[i].text in self.keywords:
             return False
         if i > stars and self.t[stars].text in ("&", "&&", "*") and not (i + 1 >= b or self.t[i + 1].text in ("=", ",", ";", "[")):
             return False
@@ -325,7 +385,7 @@ class _Body:
             self.expression(a, b, conds)
 
 
-def _definition(tokens: list[Token], start: int, brace: int) -> int | None:
+def _definition(tokens: list[Token], start: int, brace: int, cpp: bool = True) -> int | None:
     """The index of the name if tokens [start, brace) head a function definition."""
     i, name = start, None
     while i < brace:
@@ -337,7 +397,7 @@ def _definition(tokens: list[Token], start: int, brace: int) -> int | None:
                 close = _match(tokens, i)
                 if close >= brace:
                     return None
-                if name is None and i > start and tokens[i - 1].kind == "id" and tokens[i - 1].text not in KEYWORDS and i - 1 > start - 1:
+                if name is None and i > start and tokens[i - 1].kind == "id" and tokens[i - 1].text not in _keywords(cpp):
                     if tokens[i - 1].text not in ("__attribute__", "__declspec"):
                         name = i - 1
                 i = close
@@ -351,29 +411,63 @@ def _definition(tokens: list[Token], start: int, brace: int) -> int | None:
     return name
 
 
-def functions(code: str) -> list[Function]:
+def _old_head(tokens: Tokens, start: int, semicolon: int) -> tuple[int, frozenset[str]] | None:
+    """The name's index and the parameters if a statement is an old head and a declaration.
+
+    That is ``int f(a, b) int a;``: names alone in parentheses, and then no end.
+    """
+    i = start
+    while i < semicolon and tokens[i].text != "(":
+        if tokens[i].kind != "id" and tokens[i].text != "*":
+            return None
+        i += 1
+    if i == start or i >= semicolon or tokens[i - 1].kind != "id":
+        return None
+    close = _match(tokens, i)
+    inner = tokens[i + 1 : close]
+    names = frozenset(t.text for t in inner[::2] if t.kind == "id" and t.text not in C_KEYWORDS and t.text not in PRIMITIVES)
+    if not inner or len(inner[::2]) != len(inner[1::2]) + 1 or len(names) != len(inner[::2]) or any(t.text != "," for t in inner[1::2]):
+        return None
+    return (i - 1, names) if _declares(tokens, close + 1, semicolon, names) else None
+
+
+def _declares(tokens: Tokens, a: int, b: int, names: frozenset[str]) -> bool:
+    """Whether tokens [a, b) are a type and at least one of the names."""
+    return b - a > 1 and tokens[a].kind == "id" and any(t.text in names for t in tokens[a + 1 : b])
+
+
+def functions(code: str, cpp: bool = True, tokens: Tokens | None = None) -> list[Function]:
     """All function definitions of a file, in the order they are written."""
-    tokens = lex(code)
+    tokens = lex(code) if tokens is None else tokens
     out: list[Function] = []
+    old: tuple[int, int, frozenset[str]] | None = None  # first token, name and parameters of an old head
     i = start = 0
     while i < len(tokens):
         t = tokens[i]
-        if t.kind == "op" and t.text in (";", "}"):
+        if t.kind == "op" and t.text == ";":
+            if old is None:
+                head = _old_head(tokens, start, i)
+                old = (start, *head) if head else None
+            elif not _declares(tokens, start, i, old[2]):
+                old = None
             start = i + 1
+        elif t.kind == "op" and t.text == "}":
+            old, start = None, i + 1
         elif t.kind == "op" and t.text == "(":
             i = _match(tokens, i)
         elif t.kind == "op" and t.text == ":" and i > start and tokens[i - 1].text in ("public", "private", "protected"):
-            start = i + 1
+            old, start = None, i + 1
         elif t.kind == "op" and t.text == "{":
             close = _match(tokens, i)
-            name = _definition(tokens, start, i)
+            first, name = (old[0], old[1]) if old is not None and start == i else (start, _definition(tokens, start, i, cpp))
             if name is not None:
-                out.append(_function(code, tokens, start, name, i, close))
+                out.append(_function(code, tokens, first, name, i, close, cpp))
                 i, start = close, close + 1
             elif _enters(tokens, start, i):
                 start = i + 1
             else:
                 i = close
+            old = None
         i += 1
     return out
 
@@ -386,17 +480,24 @@ def _enters(tokens: list[Token], start: int, brace: int) -> bool:
     return brace == start or bool(words & {"namespace", "extern", "class", "struct", "union"})
 
 
-def _function(code: str, tokens: list[Token], start: int, name: int, brace: int, close: int) -> Function:
+def _function(code: str, tokens: list[Token], start: int, name: int, brace: int, close: int, cpp: bool) -> Function:
     base = tokens[start].row
-    body = _Body(code, tokens, base)
+    body = _Body(code, tokens, base, cpp)
     for t in tokens[start:brace]:
-        if t.kind == "id" and t.text not in KEYWORDS and t.text not in PRIMITIVES:
+        if t.kind == "id" and t.text not in body.keywords and t.text not in PRIMITIVES:
             body.out.identifiers.add(t.text)
     body.block(brace + 1, close, [])
     return Function(tokens[name].text, tokens[name].row + 1, tokens[start].start, tokens[close].end, body.out)
 
 
-def parse_detached(source: str) -> Walk:
-    """The first function of a text on its own; an empty walk if there is none."""
-    found = functions(source)
-    return found[0].walk if found else Walk()
+def parse_detached(source: str, file_name: str = "") -> Walk:
+    """The first function of a text on its own; an empty walk if there is none.
+
+    It is read as C and as C++, the file's language first. The first reading that the text
+    has nothing against is taken, else the first that finds a function.
+    """
+    tokens = lex(source)
+    cpp_first = file_name.endswith(CPP_SUFFIXES)
+    readings = [(functions(source, cpp, tokens), cpp) for cpp in (cpp_first, not cpp_first)]
+    found = [(not _fits(tokens, cpp), place, read) for place, (read, cpp) in enumerate(readings) if read]
+    return min(found, key=lambda x: x[:2])[2][0].walk if found else Walk()

@@ -70,3 +70,50 @@ def test_generated_code_nests_without_a_limit():
     assert [c.name for c in functions(deep)[0].walk.calls] == ["g"]
     ladder = "int f() { " + " ".join(f"if (a{i}) {{ }} else" for i in range(10_000)) + " g(); }"
     assert len(functions(ladder)[0].walk.calls[0].conditions) == 10_000
+
+
+OLD = """static char *
+join(a, b, n)
+    char *a, *b;
+    register int n;
+{
+    return copy(a, b, n);
+}
+int declared(a, b);
+extern int next(void) MACRO;
+struct point origin;
+int modern(int a) { return old(a); }
+main(argc, argv) char **argv; { run(argv); }
+"""
+
+
+def test_old_parameter_lists():
+    found = functions(OLD, cpp=False)
+    assert [(f.name, f.line) for f in found] == [("join", 2), ("modern", 11), ("main", 12)]
+    assert OLD[found[0].start : found[0].end].startswith("static char *\njoin(a, b, n)") and OLD[found[0].end - 1] == "}"
+    assert found[0].walk.identifiers == {"join", "a", "b", "n", "copy"} and sorted(found[0].walk.keep_lines) == [5]
+    assert [c.name for f in found for c in f.walk.calls] == ["copy", "old", "run"]
+    assert functions("int f(a) int a; int g; { h(); }") == []
+
+
+def test_branches_that_open_the_same_brace():
+    code = "#ifdef WIDE\nint f(long a) {\n#else\nint f(int a) {\n#endif\n  g(a);\n}\nint k() {\n#if X\n  one();\n#elif Y\n  two();\n#endif\n}\n"
+    assert [(f.name, f.line) for f in functions(code)] == [("f", 2), ("k", 8)]
+    assert [c.name for c in functions(code)[1].walk.calls] == ["one"]
+    both = "int k() {\n#if X\n  one();\n#else\n  two();\n#endif\n}\n"
+    assert [c.name for c in functions(both)[0].walk.calls] == ["one", "two"]
+
+
+def test_words_of_the_other_language():
+    code = "int f(struct s *this) { int new = this->class; delete(new); try(new); return new; }"
+    c = functions(code, cpp=False)[0].walk
+    assert c.identifiers == {"f", "s", "this", "new", "class", "delete", "try"}
+    assert [x.name for x in c.calls] == ["delete", "try"]
+    assert parse_detached(code) == c
+    cpp = "int f() { T *p = new T(g()); ns::h(p); delete p; try { k(); } catch (E &e) { m(); } }"
+    walk = parse_detached(cpp, "a.c")
+    assert walk == functions(cpp)[0].walk and [x.name for x in walk.calls] == ["g", "k", "m"]
+    plain = "int f(int a) { return g(a); }"
+    assert parse_detached(plain, "a.cc") == parse_detached(plain, "a.c") == functions(plain)[0].walk
+    broken = "int f(int a) { return g(a); } }"
+    assert [x.name for x in parse_detached(broken).calls] == ["g"]
