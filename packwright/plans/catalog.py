@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from packwright.functions import text as X
 from packwright.operators import bm25, budget, metrics, pool, represent, selectors
 from packwright.operators import samples as S
-from packwright.session import table
-from packwright.sources import pairs
+from packwright.session import scratch, table
+from packwright.sources import pairs, sinks
 
 BUDGET = 2000
 DRAW = 100
@@ -170,6 +170,18 @@ def pair_explode_introducing(spark, d):
     return S.explode_pairs(_documents_as_pairs(spark, d), "vul-intro").select("sample_id", "commit", "label")
 
 
+def pair_scan(spark, d):
+    """Pair lines written and scanned: each pair's place, fields and bodies."""
+    rows, path = _documents_as_pairs(spark, d), scratch(spark, "pairs")
+    line = F.to_json(F.struct(*[F.col(c) for c, _ in pairs.PAIR_FIELDS]), {"ignoreNullFields": "false"})
+    rows.repartitionByRange("idx").sortWithinPartitions("idx").select(line.alias("value")).write.text(path)
+    scanned = pairs.scan_pairs(spark, path, introducing=True)
+    md5 = lambda c: F.md5(F.encode(c, "UTF-8"))
+    place = F.row_number().over(Window.partitionBy("project").orderBy("ord"))
+    return scanned.select("idx", "cve", F.element_at("cwe", 1).alias("cwe"), "project", "vulnerability_introducing_commit_id", place.alias("place"),
+                          md5("vulnerable_function_body").alias("vulnerable_md5"), md5("non_vulnerable_function_body").alias("fixed_md5"))
+
+
 def sample_set_id(spark, d):
     items = table(spark, d, "benchmark").withColumn("bucket", F.col("item_id") % 4)
     return items.groupBy("bucket").agg(X.sample_set_id(F.concat(F.col("item_id").cast("string"), F.lit("-vuln"))).alias("set_id"))
@@ -303,6 +315,47 @@ def ledger_fields(spark, d):
     return out.select("sample_id", X.count_tokens(F.col("query")).cast("long").alias("target_tokens"), zero("n_candidates_pool"), zero("n_candidates_selected"), zero("n_evidence_tokens"))
 
 
+def ledger_rows(spark, d):
+    """A whole cell without a model: the same-file selector, raw packs, their ledger written and read."""
+    from packwright.plans import cell
+
+    index = pool.with_tokens(pool.symbol_index(candidates(spark, d).withColumn("kind", F.lit("function")))).withColumn("keep_lines", F.array(F.lit(1)))
+    key = F.col("item_id").cast("string")
+    constants = {"cve": F.lit("CVE"), "cwe": F.array(F.lit("CWE")), "project": F.lit("p"), "commit": F.lit("c"), "label": (F.col("item_id") % 2).cast("int")}
+    body = F.concat(F.lit("int d"), (F.col("item_id") * 25).cast("string"), F.lit("(int a) { "), "text", F.lit(" }\n"))
+    samples = table(spark, d, "benchmark").select(
+        F.concat(F.lit("b"), key).alias("sample_id"), F.col("item_id").alias("pair_id"), F.lit("w").alias("worktree"),
+        F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("file_name"), body.alias("func_body"), *[v.alias(k) for k, v in constants.items()],
+    )
+    cfg = cell.CellConfig(selector="C1", representation="R0", budget=BUDGET)
+    told = cell.predict(cell.build_packs(samples, index, cfg), None)
+    path = scratch(spark, "ledger")
+    sinks.append_ledger(cell.ledger(told, cfg, "run", "set"), path)
+    out = pairs.scan_results(spark, path)
+    return out.select("sample_id", "pair_id", "label", "selector", "representation", "encoding", "budget", "backend", "prediction", "target_tokens", "prompt_tokens_total", "pack_tokens",
+                      "n_evidence_tokens", "n_candidates_pool", "n_candidates_selected", "n_backend_failures")
+
+
+def target_line(spark, d):
+    """The line of the symbol that each sample's function is named like."""
+    f = candidates(spark, d).withColumn("name", F.concat(F.lit("s"), (F.col("line") % 300).cast("string"))).withColumn("line", F.col("line") % 50)
+    body = F.concat(F.lit("static int s"), (F.col("doc_id") % 400).cast("string"), F.lit(" (int a) { return f(a); }"))
+    samples = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.lit("w").alias("worktree"), body.alias("func_body"))
+    return pool.target_lines(samples, pool.symbol_index(f)).select("sample_id", F.col("target_line").cast("string").alias("target_line"))
+
+
+def function_facts(spark, d):
+    """What a sample's function calls: by name from the index, else read off its own text."""
+    files = c_sources(spark, d).where(F.regexp_extract("file", r"(\d+)", 1).cast("long") % 2 == 0)
+    k = F.col("p_partkey").cast("string")
+    body = F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("int fn_"), k, F.lit("(a)\n    int a;\n{\n    return own_"), k, F.lit("(a, next());\n}\n")))
+    samples = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("sample_id"), F.lit("w").alias("worktree"), body.alias("func_body"))
+    parsed = samples.select("sample_id", pairs.parsed_source(F.col("func_body")).alias("parsed"))
+    facts = pool.function_facts(samples, pool.symbol_index(pairs.scan_functions(files)), parsed)
+    rows = F.array_join(F.col("keep_lines").cast("array<string>"), ",")
+    return facts.select("sample_id", "name", F.array_join("calls.name", ",").alias("calls"), rows.alias("rows"), "missed")
+
+
 def calls_extract(spark, d):
     f = pairs.scan_functions(c_sources(spark, d))
     return f.select("name", "file", "line", F.posexplode("calls").alias("place", "c")).select("name", "file", "line", "place", F.col("c.name").alias("callee"))
@@ -372,9 +425,9 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        clean_body, guess_name, count_tokens, verdict_parse, cell_ids, dedup_first, pair_explode, pair_explode_introducing, sample_set_id, strat_draw_md5, strat_draw_mt,
+        clean_body, guess_name, count_tokens, verdict_parse, cell_ids, dedup_first, pair_explode, pair_explode_introducing, pair_scan, sample_set_id, strat_draw_md5, strat_draw_mt,
         frozen_apply, limit_samples, dataset_hash, pool_exclude_target, symbol_index, same_file_rank, same_file_fill, random_perm, code_tokens, bm25_stats, bm25_scores,
-        bm25_topk, bm25_fill, greedy_fill, callees, callers, callgraph_2hop, pack_r0, pack_r1_lines, ledger_fields, calls_extract, enclosing_conditions, keep_lines,
+        bm25_topk, bm25_fill, greedy_fill, callees, callers, callgraph_2hop, pack_r0, pack_r1_lines, ledger_fields, ledger_rows, target_line, function_facts, calls_extract, enclosing_conditions, keep_lines,
         pairwise_outcomes, cell_metrics, f1_trivial, cost_medians, latest_cell, miss_counts, cell_grid,
     )
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from packwright.plans.catalog import BUDGET, DRAW, SQL_EDGES, SQL_LEDGER
+from packwright.plans.cell import SYSTEM_PROMPT
 
 # White space as RE2 sees it, and the word count of a text.
 _WORDS = "len(list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> ''))"
@@ -101,6 +102,9 @@ SQL: dict[str, str] = {
                source || '-' || left(CASE half WHEN 0 THEN 'v' ELSE 'x' END || doc_id, 12) AS worktree, md5({_STRIP.replace('{t}', 'text')}) AS body_md5
         FROM ({_PAIR_ROWS})""",
     "pair_explode_introducing": f"SELECT {_SAMPLE} AS sample_id, CASE half WHEN 0 THEN 'i' ELSE 'x' END || doc_id AS commit, 1 - half AS label FROM ({_PAIR_ROWS})",
+    "pair_scan": """
+        SELECT doc_id AS idx, 'CVE-' || doc_id AS cve, lang AS cwe, source AS project, 'i' || doc_id AS vulnerability_introducing_commit_id,
+               CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS place, md5('c' || chr(10) || text) AS vulnerable_md5, md5(text) AS fixed_md5 FROM documents""",
     "sample_set_id": "SELECT item_id % 4 AS bucket, left(sha256(string_agg(item_id || '-vuln', chr(10) ORDER BY item_id || '-vuln')), 12) AS set_id FROM benchmark GROUP BY 1",
     "strat_draw_md5": f"""
         WITH r AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY md5('0-' || doc_id), doc_id) AS round FROM documents)
@@ -164,6 +168,40 @@ SQL: dict[str, str] = {
         SELECT sample_id, CAST({_tokens('query')} AS BIGINT) AS target_tokens, (SELECT count(*) FROM near n WHERE n.sample_id = t.sample_id) AS n_candidates_pool,
                (SELECT count(*) FROM fill f WHERE f.sample_id = t.sample_id) AS n_candidates_selected,
                CAST(coalesce((SELECT sum(tokens) FROM fill f WHERE f.sample_id = t.sample_id), 0) AS BIGINT) AS n_evidence_tokens FROM targets t""",
+    "ledger_rows": f"""
+        WITH pool AS (
+            SELECT 'd' || doc_id AS name, source AS file, doc_id AS line, text, {_tokens('text')} AS tokens, row_number() OVER (ORDER BY source, doc_id) AS ord
+            FROM documents WHERE text <> ''),
+        targets AS (
+            SELECT 'b' || item_id AS sample_id, item_id, 'd' || (item_id * 25) AS own, 'src' || (item_id % 20) AS file_name,
+                   'int d' || (item_id * 25) || '(int a) {{ ' || text || ' }}' || chr(10) AS body FROM benchmark),
+        aimed AS (SELECT t.*, nullif(p.line, 0) AS target_line FROM targets t LEFT JOIN pool p ON p.name = t.own),
+        near AS (
+            SELECT sample_id, name, file, line, text, tokens,
+                   row_number() OVER (PARTITION BY sample_id ORDER BY abs(line - target_line), CASE WHEN line < target_line THEN 0 ELSE 1 END, ord) AS rank
+            FROM pool JOIN aimed ON file = file_name AND name <> own),
+        {_fill('near')},
+        blocks AS (
+            SELECT f.sample_id, count(*) AS n, sum(f.tokens) AS tokens,
+                   string_agg('[EVIDENCE E' || pos || ']' || chr(10) || 'file: ' || file || chr(10) || 'function: ' || f.name || chr(10) || 'line: ' || line
+                   || chr(10) || chr(10) || {_STRIP.replace('{t}', 'text')} || chr(10) || '[/EVIDENCE]', chr(10) ORDER BY pos) AS evidence
+            FROM fill f JOIN pool p ON f.name = p.name GROUP BY f.sample_id),
+        packs AS (
+            SELECT a.*, coalesce(n, 0) AS n, coalesce(tokens, 0) AS evidence_tokens,
+                   '=== TARGET FUNCTION ===' || chr(10) || {_STRIP.replace('{t}', 'body')}
+                   || coalesce(chr(10) || chr(10) || '=== CONTEXT (selected functions, raw source) ===' || chr(10) || evidence, '') AS pack
+            FROM aimed a LEFT JOIN blocks b ON a.sample_id = b.sample_id)
+        SELECT sample_id, item_id AS pair_id, CAST(item_id % 2 AS INT) AS label, 'C1' AS selector, 'R0' AS representation, 'text' AS encoding, CAST({BUDGET} AS INT) AS budget, 'ts' AS backend,
+               CAST(-1 AS INT) AS prediction, CAST({_tokens('body')} AS BIGINT) AS target_tokens, CAST({_tokens('pack')} + {int(len(SYSTEM_PROMPT.split()) * 1.3)} AS BIGINT) AS prompt_tokens_total,
+               CAST({_tokens('pack')} AS BIGINT) AS pack_tokens, CAST(evidence_tokens AS BIGINT) AS n_evidence_tokens,
+               (SELECT count(*) FROM pool) - (SELECT count(*) FROM pool p WHERE p.name = own) AS n_candidates_pool, n AS n_candidates_selected, CAST(0 AS INT) AS n_backend_failures FROM packs""",
+    "target_line": """
+        WITH one AS (SELECT 's' || (doc_id % 300) AS name, arg_min(CAST(doc_id % 50 AS INT), (source, doc_id)) AS line FROM documents GROUP BY 1)
+        SELECT CAST(doc_id AS VARCHAR) AS sample_id, CAST(nullif(line, 0) AS VARCHAR) AS target_line FROM documents LEFT JOIN one ON name = 's' || (doc_id % 400)""",
+    "function_facts": """
+        SELECT CAST(p_partkey AS VARCHAR) AS sample_id, CASE WHEN p_partkey % 5 > 0 THEN 'fn_' || p_partkey END AS name,
+               CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 'init_' || p_size || ',hit_' || p_partkey || ',miss,step,done' ELSE 'own_' || p_partkey || ',next' END AS calls,
+               CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN '3,4,5,7,10,11,12' ELSE '3' END AS rows, p_partkey % 5 = 0 AS missed FROM part""",
     "calls_extract": f"""
         WITH f AS ({_C_CALLS}), c AS (SELECT name, file, line, unnest(range(5)) AS place, unnest(['init_' || p_size, 'hit_' || p_partkey, 'miss', 'step', 'done']) AS callee FROM f)
         SELECT name, file, line, CAST(place AS INT) AS place, callee FROM c""",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +39,22 @@ def local_session(app: str = "packwright", cores: str = "*", **conf: str) -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table. The path may be on any store that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where that is unset, local mode gets a folder of its own; a cluster must set it.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="packwright-base-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        where = f"file://{_own[0]}"
+    return f"{where.rstrip('/')}/packwright-{uuid.uuid4().hex}/{name}"
