@@ -191,6 +191,20 @@ def test_third_documents_that_hold_pieces_hide_no_passage(spark, smaller):
     assert (got[200, 100].start, got[200, 100].end) == (0, 120) and (got[305, 301].start, got[305, 301].end) == (0, 60)
 
 
+@pytest.mark.parametrize("smaller", [True, False])
+def test_third_documents_that_hold_pieces_hide_no_fuzzy_passage(spark, smaller):
+    rng = random.Random(31)
+    fresh = lambda n: [f"u{rng.getrandbits(40)}" for _ in range(n)]
+    passage = fresh(88)
+    edited = [w if i % 22 != 21 else f"e{i}" for i, w in enumerate(passage)]  # no long run is left
+    third = [(k + (0 if smaller else 70), " ".join(fresh(20) + passage[11 * k : 11 * k + 22] + fresh(20))) for k in range(8)]
+    docs = [(60, " ".join(fresh(30) + passage)), (200, " ".join(edited + fresh(9))), (201, " ".join(fresh(4) + edited))]
+    df = spark.createDataFrame(docs + third, "doc_id long, text string").coalesce(1)  # all texts are held at once
+    got = {(r.doc_id, r.anchor): r for r in chains.repeated_passages(df).collect()}
+    assert {(200, 60)} < set(got) <= {(200, 60), (201, 60), (201, 200)}
+    assert (got[200, 60].start, got[200, 60].anchor_start, got[200, 60].n_same) == (0, 30, 84)
+
+
 def test_a_seed_that_repeats_in_the_anchor(spark):
     rng = random.Random(29)
     fresh = lambda n: [f"u{rng.getrandbits(40)}" for _ in range(n)]
