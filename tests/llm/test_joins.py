@@ -4,6 +4,7 @@ import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from packwright.llm import chains, graph, jaccard
@@ -271,6 +272,50 @@ def test_stretches_find_every_alignment_that_holds_one():
         assert bool(found) == any(good(c.bounds(i, j)) for i in range(n) for j in range(i + 1, n + 1) if equal[i] and equal[j - 1])
 
 
+def test_alignments_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        some = [[rng.integers(0, 5, rng.integers(1, 40)).astype(np.uint64) for _ in range(2)] for _ in range(17)]
+        x, y = np.full((17, 40), -2, np.int16), np.full((17, 40), -1, np.int16)
+        for r, (a, b) in enumerate(some):
+            x[r, : len(a)], y[r, : len(b)] = a, b
+        for (a, b), c in zip(some, chains.best_alignments(x, y), strict=True):
+            want = chains.align(a, b)
+            assert all((getattr(c, v) == getattr(want, v)).all() for v in ("a", "b", "same", "equal"))
+
+
+def test_a_hot_seeds_places_are_connected_by_few_alignments(monkeypatch):
+    """Places of a repeated word that share no passage aren't aligned; those that do are connected, as all pairs say."""
+    rng = np.random.default_rng(23)
+    tables = []
+    one, many = chains._align_table, getattr(chains, "best_alignments", None)
+    monkeypatch.setattr(chains, "_align_table", lambda a, b: tables.append(1) or one(a, b))
+    if many:
+        monkeypatch.setattr(chains, "best_alignments", lambda x, y: tables.extend([1] * len(x)) or many(x, y))
+    hot, passage = np.full(28, 7, np.uint64), rng.integers(100, 1 << 60, 60).astype(np.uint64)
+    texts = []
+    for i in range(60):
+        own, usual = rng.integers(1000, 1 << 60, 4).astype(np.uint64), rng.integers(8, 30, 6).astype(np.uint64)
+        around = [np.repeat(np.append(usual[:3], own[:2]), 14), np.repeat(np.append(own[2:], usual[3:]), 14)]
+        if i % 12 == 0:
+            around[1] = np.concatenate([np.delete(passage, i % 50 + 1), around[1]])
+        texts.append(np.concatenate([around[0], hot, around[1]])[:200])
+    rows = {"seed": np.ones(60, int), "low": np.zeros(60, int), "high": np.zeros(60, int), "block": np.zeros(60, np.int32), "part": np.arange(60), "doc_id": np.arange(60)[::-1].copy()}
+    rows |= {"start": np.full(60, 70, np.int32), "end": np.full(60, 88, np.int32), "words": [t.tobytes() for t in texts]}
+    batch = pa.record_batch(rows)
+    found = [r for b in chains._compared(10, 50, 0.7, 98)(iter([batch.slice(0, 25), batch.slice(25)])) for r in b.to_pylist()]
+    few, forest, plain = len(tables), graph.Forest(), graph.Forest()
+    for r in found:
+        assert min(r["end"] - r["start"], r["anchor_end"] - r["anchor_start"]) >= 50 and r["n_same"] >= 0.7 * r["n_aligned"] and r["doc_id"] > r["anchor"]
+        forest.union(r["doc_id"], r["anchor"])
+    for i in range(60):
+        for j in range(i):
+            if any(t[0] < 98 and t[1] > 70 and t[2] < 98 and t[3] > 70 for t in chains.compare(texts[i], texts[j], 0, 50, 0.7)):
+                plain.union(59 - i, 59 - j)
+    assert [forest.find(i) for i in range(60)] == [plain.find(i) for i in range(60)]
+    assert len({forest.find(59 - i) for i in range(0, 60, 12)}) == 1 and few < 150
+
+
 def test_passage_edges(spark):
     assert passages(spark, []) == {}
     rows = [(None, "a b " * 100), (1, " ".join(f"v{i}" for i in range(200))), (1, " ".join(f"v{i}" for i in range(200)))]
